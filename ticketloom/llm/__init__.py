@@ -7,8 +7,10 @@ from importlib import import_module
 
 #: Query name -> (module, name of the DuckDB statement or None).
 QUERIES = {
+    "op2_sentencepiece": ("op2_sentencepiece", None),
     "op3_simhash_dedup": ("op3_simhash", None),
     "op6_line_dedup": ("op6_lines", "OP6_SQL"),
+    "op9_token_bin": ("op9_tokenbin", None),
 }
 
 
