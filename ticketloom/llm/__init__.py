@@ -9,8 +9,12 @@ from importlib import import_module
 QUERIES = {
     "op2_sentencepiece": ("op2_sentencepiece", None),
     "op3_simhash_dedup": ("op3_simhash", None),
+    "op5_url_filter": ("op5_urls", None),
     "op6_line_dedup": ("op6_lines", "OP6_SQL"),
+    "op7_token_counts": ("op7_counts", None),
+    "op8_language_id": ("op8_langid", None),
     "op9_token_bin": ("op9_tokenbin", None),
+    "op10_quality_rules": ("op10_quality", None),
 }
 
 
