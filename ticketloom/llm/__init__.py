@@ -7,6 +7,7 @@ from importlib import import_module
 
 #: Query name -> (module, name of the DuckDB statement or None).
 QUERIES = {
+    "op1_decontaminate": ("op1_decontaminate", "OP1_SQL"),
     "op2_sentencepiece": ("op2_sentencepiece", None),
     "op3_simhash_dedup": ("op3_simhash", None),
     "op5_url_filter": ("op5_urls", None),
