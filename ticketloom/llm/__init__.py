@@ -10,6 +10,7 @@ QUERIES = {
     "op1_decontaminate": ("op1_decontaminate", "OP1_SQL"),
     "op2_sentencepiece": ("op2_sentencepiece", None),
     "op3_simhash_dedup": ("op3_simhash", None),
+    "op4_substring_dedup": ("op4_substrings", None),
     "op5_url_filter": ("op5_urls", None),
     "op6_line_dedup": ("op6_lines", "OP6_SQL"),
     "op7_token_counts": ("op7_counts", None),
