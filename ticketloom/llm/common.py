@@ -68,6 +68,18 @@ def map_texts(docs: DataFrame, schema: str, rows: Callable[[list, list[bytes]],
     return id_and_text(docs).mapInArrow(run, schema)
 
 
+def keep_texts(docs: DataFrame, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """The rows of docs, all columns as they are, for which keep(texts as UTF-8; null is empty) says so. No shuffle."""
+    limit_arrow(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep([t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

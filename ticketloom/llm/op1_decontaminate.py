@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIN_SIMILARITY, SHINGLE_WORDS, WORD_BYTES, batch, id_and_text, limit_arrow, table, to_arrow
+from .common import MIN_SIMILARITY, SHINGLE_WORDS, WORD_BYTES, batch, id_and_text, keep_texts, limit_arrow, table, to_arrow
 
 #: Shingles of the items that a task holds at a time.
 BLOCK = 2_000_000
@@ -153,16 +153,15 @@ def contained(docs: DataFrame, items: DataFrame, least: float = MIN_SIMILARITY)
 
 def clean(docs: DataFrame, items: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
     """The rows of docs, all columns as they are, whose text contains no item. One pass for each block of items."""
-    limit_arrow(docs.sparkSession)
-    at = docs.columns.index("text")
     for block in blocks(items):
+        held: list[Items] = []  # made once in each task
 
-        def run(batches, block=block):
-            held = Items(block, least)
-            for b in batches:
-                yield b.filter(pa.array([not held.search(t or b"") for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+        def keep(texts, block=block, held=held):
+            if not held:
+                held.append(Items(block, least))
+            return [not held[0].search(t) for t in texts]
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = keep_texts(docs, keep)
     return docs
 
 

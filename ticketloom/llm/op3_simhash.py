@@ -195,6 +195,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = BUDGET) -> Da
     return docs_fp.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = 3, budget: int = BUDGET) -> DataFrame:
+    """The rows of docs, all columns as they are, that name their component; of rows with one doc_id all stay or go, and rows
+    without doc_id stay."""
+    go = near_duplicates(docs, words, budget).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(go, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -66,14 +66,18 @@ def runs(dropped: Column, n_lines: Column) -> Column:
     return F.filter(F.zip_with(begin, stop, lambda b, e: F.struct(b.alias("start"), (e - b).alias("length"))), lambda r: r["length"] > 0)
 
 
-def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, text (null stays null), lines, n_dropped, keep_runs: one row for each row of docs."""
-    keyed = id_and_text(docs).withColumn("tkey", F.xxhash64("text"))
+def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, carry: bool = False) -> DataFrame:
+    """doc_id, text (null stays null), lines, n_dropped, keep_runs, and with carry the whole input row as `row`: one row
+    for each row of docs."""
+    own = docs.select(F.struct(*docs.columns).alias("row")) if carry else docs
+    keyed = own.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text")) if carry else id_and_text(own)
+    keyed = keyed.withColumn("tkey", F.xxhash64("text"))
     joined = keyed.join(line_bitmaps(docs, min_chars), ["doc_id", "tkey"], "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     return joined.select(
         "doc_id", "text", lines.alias("lines"), F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"),
         F.when(F.col("dropped").isNull(), F.array(F.struct(F.lit(0).alias("start"), F.size(lines).alias("length")))).otherwise(runs(F.col("dropped"), F.size(lines))).alias("keep_runs"),
+        *["row"] * carry,
     )
 
 
@@ -83,6 +87,13 @@ def kept_text() -> Column:
     return F.when(F.col("n_dropped") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
 
 
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with the repeated lines gone: text (null stays null) and, if there, n_chars are new, all other columns as they are."""
+    text = F.when(F.col("text").isNotNull(), kept_text())
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return with_bitmaps(docs, min_chars, carry=True).select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_bitmaps(table(spark, sf_dir, "documents")).select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(kept_text(), 256).alias("kept_sha256")

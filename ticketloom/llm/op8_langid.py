@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import keep_texts, map_texts, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Bounds of the training sample: texts for each language, characters of each text, bytes of a dictionary.
@@ -111,5 +111,15 @@ def languages(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     return map_texts(docs, "doc_id long, lang_pred string, score double, accepted boolean", rows)
 
 
+def accepted(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is predicted with a margin that is not narrow."""
+    model = dictionaries(docs if train is None else train)
+
+    def keep(texts):
+        return [g[0] != "und" and g[2] >= MARGIN for g in (predict(t.decode(), model) for t in texts)]
+
+    return keep_texts(docs, keep)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
