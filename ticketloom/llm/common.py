@@ -80,6 +80,37 @@ def keep_texts(docs: DataFrame, keep: Callable[[list[bytes]], list[bool]]) -> Da
     return docs.mapInArrow(run, docs.schema)
 
 
+class Memory:
+    """Values of keys met before, up to a number of places; a key takes one, and one more for every 32 characters. When it is
+    full it starts anew."""
+
+    def __init__(self, places: int):
+        self.places = self.room = places
+        self.known: dict = {}
+
+    def values(self, keys: list, learn: Callable[[list], list]) -> list:
+        """The value of each key; learn(keys) gives those of keys that aren't known."""
+        got = list(map(self.known.get, keys))
+        at, i = [], -1
+        try:
+            while True:
+                i = got.index(None, i + 1)
+                at.append(i)
+        except ValueError:
+            pass
+        if at:
+            new = list({keys[i] for i in at})
+            made = dict(zip(new, learn(new), strict=True))
+            self.room -= sum(1 + len(k) // 32 for k in new)
+            if self.room < 0:
+                self.known.clear()
+                self.room = self.places
+            self.known.update(made)
+            for i in at:
+                got[i] = made[keys[i]]
+        return got
+
+
 def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

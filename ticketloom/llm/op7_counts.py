@@ -20,12 +20,11 @@ from functools import lru_cache
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts, table
+from .common import Memory, map_texts, table
 from .op2_sentencepiece import BYTE, MARK, NORMAL, Model, model_path
 
 PENALTY = 10.0
 REMEMBERED = 600_000
-LONG = 64
 
 
 class Counter:
@@ -37,9 +36,11 @@ class Counter:
             self.auto.add_word(p, (len(p), s))
         self.auto.make_automaton()
         self.unknown = min(s for _, s in pieces) - PENALTY
-        self.known: dict[str, tuple[int, float]] = {}
+        self.memory = Memory(REMEMBERED)
 
     def best(self, s: str) -> tuple[int, float]:
+        """(tokens, score) of a part, whose space mark is put before it here."""
+        s = MARK + s
         n = len(s)
         score, count = [0.0] * (n + 1), [0] * (n + 1)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
@@ -59,22 +60,15 @@ class Counter:
             score[end + 1], count[end + 1] = top, k
         return count[n], score[n]
 
-    def part(self, s: str) -> tuple[int, float]:
-        got = self.known.get(s)
-        if got is None:
-            got = self.best(s)
-            if len(s) <= LONG:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[s] = got
-        return got
+    def learn(self, parts: list[str]) -> list[tuple[int, float]]:
+        return list(map(self.best, parts))
 
     def count(self, text: str) -> tuple[int, float]:
         if not text:
             return 0, 0.0
         parts = (text if text[0] in " " + MARK else " " + text).replace(MARK, " ").split(" ")
-        got = list(map(self.part, [MARK + p for p in parts[1:]]))
-        return sum([g[0] for g in got]), sum([g[1] for g in got])
+        n, score = zip(*self.memory.values(parts[1:], self.learn), strict=True)
+        return sum(n), sum(score)
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
