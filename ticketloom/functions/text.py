@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules
 
@@ -17,6 +18,11 @@ def text_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(x) with x bound to the value: evaluated once, and one copy in the plan however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(c: Column | str) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(text_of(c), r"(?U)\s+", " "))
@@ -24,23 +30,24 @@ def squeeze(c: Column | str) -> Column:
 
 def clean_cell(c: Column | str) -> Column:
     """Squeezed text of a cell; null and cells that only draw a rule (``____``, ``-.-``) are empty."""
-    s = squeeze(F.coalesce(text_of(c), F.lit("")))
-    return F.when(s.rlike(r"(?U)^[_\-.\s]*$"), "").otherwise(s)
+    return let(squeeze(F.coalesce(text_of(c), F.lit(""))), lambda s: F.when(s.rlike(r"(?U)^[_\-.\s]*$"), "").otherwise(s))
 
 
 def label_like(c: Column | str) -> Column:
     """Short, has a letter, and fewer than three in ten of its visible characters are digits."""
-    s = F.regexp_replace(text_of(c), r"(?U)^\s+|\s+$", "")
-    solid = F.regexp_replace(s, r"(?U)\s", "")
-    digits = F.length(solid) - F.length(F.regexp_replace(solid, r"(?U)\d", ""))
-    return F.coalesce((F.length(s) <= LABEL_CHARS) & s.rlike(r"\p{L}") & (digits < DIGIT_SHARE * F.length(solid)), F.lit(False))
+
+    def check(s):
+        few = let(F.regexp_replace(s, r"(?U)\s", ""), lambda x: F.length(x) - F.length(F.regexp_replace(x, r"(?U)\d", "")) < DIGIT_SHARE * F.length(x))
+        return (F.length(s) <= LABEL_CHARS) & s.rlike(r"\p{L}") & few
+
+    return F.coalesce(let(F.regexp_replace(text_of(c), r"(?U)^\s+|\s+$", ""), check), F.lit(False))
 
 
 def words_only(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compatible(s: pd.Series) -> pd.Series:
     """NFKC, which Spark has no function for."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
@@ -53,8 +60,7 @@ def full_key(c: Column | str) -> Column:
 
 def short_key(c: Column | str) -> Column:
     """The key without what stands in parentheses; the full key if nothing else is left."""
-    s = words_only(F.regexp_replace(F.lower(text_of(c)), r"\([^)]*\)", " "))
-    return F.when(s == "", full_key(c)).otherwise(s)
+    return F.coalesce(F.nullif(words_only(F.regexp_replace(F.lower(text_of(c)), r"\([^)]*\)", " ")), F.lit("")), full_key(c))
 
 
 def expand_abbreviations(key: Column | str) -> Column:
