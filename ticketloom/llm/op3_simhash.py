@@ -30,7 +30,7 @@ BITS, BUDGET = 64, 3
 #: Shingles hashed at a time, so that a very long text needs no more memory than a long one.
 STRIDE = 1 << 16
 #: Node pairs walked at a time.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 17
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:

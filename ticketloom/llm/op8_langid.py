@@ -65,7 +65,7 @@ def dictionaries(docs: DataFrame) -> tuple[tuple[str, bytes], ...]:
     return tuple((k, letters("\n".join(dict.fromkeys(t)))[-DICTIONARY:]) for k, t in sample(docs))
 
 
-@lru_cache(4)
+@lru_cache(1)
 def compressors(model: tuple[tuple[str, bytes], ...]) -> list[tuple]:
     """For each language: compressor for texts, compressor for short texts after a base, the bases, their size together."""
     out = []
