@@ -21,14 +21,12 @@ from functools import lru_cache
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts, table
+from .common import Memory, map_texts, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Segments remembered by a task; the table starts anew when it is full.
+#: Places for segments that a task remembers.
 REMEMBERED = 400_000
-#: Longer segments are not remembered.
-LONG = 64
 
 
 def varint(data: bytes, i: int) -> tuple[int, int]:
@@ -107,7 +105,7 @@ class Encoder:
         for p in sorted(self.halves, key=len):
             if any(self.born[h] >= self.born[p] or h in self.early for h in self.halves[p]):
                 self.early.add(p)
-        self.known: dict[str, tuple[str, int, tuple]] = {}
+        self.memory = Memory(REMEMBERED)
         self.chars = {p for p in m.id if len(p) == 1}
         # the first alternative is what nearly all segments are
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -160,10 +158,8 @@ class Encoder:
         """For each position the lengths of the pieces that start there, longest first. The automaton runs over the
         reversed text, so that a match's end there is its start here."""
         n, found = len(s), [[] for _ in range(len(s) + 1)]
-        for end, length in self.auto.iter(s[::-1]):
+        for end, length in self.auto.iter(s[::-1]):  # of those with one end, the longest comes first
             found[n - 1 - end].append(length)
-        for f in found:
-            f.sort(reverse=True)
         return found
 
     def backtrack(self, s: str) -> list[str]:
@@ -204,23 +200,19 @@ class Encoder:
                 ids += map(self.m.bytes.__getitem__, c.encode())
         return tuple(ids[:-1])
 
-    def learned(self, s: str) -> tuple[str, int, bytes]:
-        """(ids as decimals, number of ids, decoded bytes) of a segment."""
-        got = self.known.get(s)
-        if got is None:
+    def learn(self, segments: list[str]) -> list[tuple[str, int, bytes]]:
+        """(ids as decimals, number of ids, decoded bytes) of each segment."""
+        out = []
+        for s in segments:
             ids = self.segment(s)
-            got = (" ".join(map(str, ids)), len(ids), b"".join(map(self.text_of.__getitem__, ids)))
-            if len(s) <= LONG:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[s] = got
-        return got
+            out.append((" ".join(map(str, ids)), len(ids), b"".join(map(self.text_of.__getitem__, ids))))
+        return out
 
     def segments(self, text: str) -> list[str]:
         return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for s in self.segments(text) for x in self.learned(s)[0].split()]
+        return [int(x) for got in self.memory.values(self.segments(text), self.learn) for x in got[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces are put together, invalid bytes become U+FFFD each, and the leading mark goes."""
@@ -244,10 +236,10 @@ class Encoder:
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids with the end id, SHA-256 of the decimal ids, SHA-256 of the decoded text. The decoded bytes of
         a whole character never part between segments, so they are put together by segment."""
-        got = list(map(self.learned, self.segments(text)))
-        ids = " ".join([*(g[0] for g in got), str(self.m.eos)])
-        back = b"".join([g[2] for g in got])
-        return sum([g[1] for g in got]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back[1:] if back.startswith(b" ") else back).hexdigest()
+        got = self.memory.values(self.segments(text), self.learn)
+        ids, n, back = zip(*got, strict=True) if got else ((), (), ())
+        raw = b"".join(back)
+        return sum(n) + 1, hashlib.sha256(" ".join([*ids, str(self.m.eos)]).encode()).hexdigest(), hashlib.sha256(raw[1:] if raw.startswith(b" ") else raw).hexdigest()
 
 
 def readable(raw: bytes) -> str:
