@@ -69,14 +69,14 @@ def order_slips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 @query("""
 SELECT CAST(o_orderkey AS VARCHAR) AS slip_id, 'D/' || o_orderkey AS deal_id, 'OUTRIGHT' AS deal_type, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS buy_sell,
-  CAST(o_orderdate AS DATE) AS trade_date, CAST(o_orderdate AS DATE) + 1 AS settlement_date, CAST(round(CAST(o_totalprice AS DECIMAL(20,4)), 2) AS DECIMAL(18,2)) AS consideration,
+  CAST(o_orderdate AS DATE) AS trade_date, CAST(o_orderdate AS DATE) + 1 AS settlement_date, CAST(CAST(round(CAST(o_totalprice AS DECIMAL(20,4)), 2) AS DECIMAL(18,2)) AS DOUBLE) AS consideration,
   c_name AS counterparty, 'INR' AS currency, 'IN' AS market, 'NEW_TEMPLATE' AS status, 4 AS n_missing
 FROM orders JOIN customer ON o_custkey = c_custkey
 """)
 def parse_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, pairs = order_slips(spark, sf_dir)
     return parse(texts, pairs).select(
-        "slip_id", "deal_id", "deal_type", "buy_sell", "trade_date", "settlement_date", F.col("consideration").cast("decimal(18,2)").alias("consideration"),
+        "slip_id", "deal_id", "deal_type", "buy_sell", "trade_date", "settlement_date", F.col("consideration").cast("double").alias("consideration"),
         "counterparty", "currency", "market", "status", F.size("missing").alias("n_missing"),
     )
 
@@ -90,7 +90,7 @@ def parse_date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN -v WHEN o_orderkey % 5 IN (2, 3) THEN CAST(round(v, 0) AS DECIMAL(18,2)) ELSE v END AS amount
+SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 = 4 THEN -v WHEN o_orderkey % 5 IN (2, 3) THEN CAST(round(v, 0) AS DECIMAL(18,2)) ELSE v END AS DOUBLE) AS amount
 FROM (SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(20,4)), 2) AS DECIMAL(18,2)) AS v FROM orders)
 """)
 def parse_amount_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def parse_amount_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     lakh = F.concat((whole.cast("decimal(18,5)") / F.lit(100000).cast("decimal(6,0)")).cast("decimal(18,5)").cast("string"), F.lit(" Lakh"))
     crore = F.concat(F.lit("INR "), (whole.cast("decimal(18,7)") / F.lit(10000000).cast("decimal(8,0)")).cast("decimal(18,7)").cast("string"), F.lit(" Cr"))
     shown = F.when(k == 0, amount_text(x, True)).when(k == 1, amount_text(x, False)).when(k == 2, lakh).when(k == 3, crore).otherwise(F.concat(F.lit("("), amount_text(x, False), F.lit(")")))
-    return o.select("o_orderkey", V.parse_amount(shown, None, V.map_of(rules.PROFILES["IN"]["units"]))["value"].cast("decimal(18,2)").alias("amount"))
+    return o.select("o_orderkey", V.parse_amount(shown, None, V.map_of(rules.PROFILES["IN"]["units"]))["value"].cast("double").alias("amount"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(round(l_discount * 100) AS BIGINT) AS pct, CAST(l_quantity AS BIGINT) AS days FROM lineitem")

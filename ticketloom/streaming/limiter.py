@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 OUT = "key string, ts timestamp, blocked boolean, failures int"
 
@@ -40,7 +41,7 @@ def limit(events: DataFrame, max_failures: int = 5, window: float = 300, block:
         rows, _ = run(pdf.sort_values("ts", kind="stable").itertuples(), ([], 0.0), max_failures, window, block)
         return pd.DataFrame(rows, columns=["key", "ts", "blocked", "failures"])
 
-    return events.select("key", "ts", "ok").groupBy("key").applyInPandas(fold, OUT)
+    return events.select("key", F.col("ts").cast("timestamp").alias("ts"), "ok").groupBy("key").applyInPandas(fold, OUT)
 
 
 def limit_stream(events: DataFrame, max_failures: int = 5, window: float = 300, block: float = 900) -> DataFrame:
@@ -54,4 +55,4 @@ def limit_stream(events: DataFrame, max_failures: int = 5, window: float = 300,
         state.update((times, until))
         yield pd.DataFrame(rows, columns=["key", "ts", "blocked", "failures"])
 
-    return events.select("key", "ts", "ok").groupBy("key").applyInPandasWithState(fold, OUT, "times array<double>, until double", "append", GroupStateTimeout.NoTimeout)
+    return events.select("key", F.col("ts").cast("timestamp").alias("ts"), "ok").groupBy("key").applyInPandasWithState(fold, OUT, "times array<double>, until double", "append", GroupStateTimeout.NoTimeout)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """start, event_type, n, total over tumbling windows; events: ts, event_type, value. Rows later than the watermark are dropped, so
     that the state stays bounded."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
