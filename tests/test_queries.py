@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(df):
     def one(v):
-        if v is None or v is pd.NaT or v != v:
+        if v is None or pd.isna(v):
             return "null"
         return str(v)[:10] if hasattr(v, "year") else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) or type(v).__name__ == "Decimal" else str(v)
 
