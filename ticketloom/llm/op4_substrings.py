@@ -5,17 +5,19 @@ document and an earlier start). Each such string is a window; the work is dealt
 
 1. The anchor of a window is the leftmost of its GRAM-byte substrings with the least hash. Equal windows have equal anchors
    at equal offsets. Windows of a text that share an anchor follow each other, so an anchor stands for a run of windows.
-2. Anchors that occur once are dropped: counts by anchor hash, partially aggregated, joined back.
-3. What is left gives contexts, the bytes under an anchor's run of windows. They are dealt by anchor hash and sorted by
-   document; a task takes whole anchor groups, up to CHUNK bytes at a time.
-4. Of each chunk a run-length index is built: the Burrows-Wheeler transform as runs, with text positions sampled at the ends of
+2. Anchors are dealt by hash and counted; those that occur once are dropped. The others are listed by document (a checkpointed
+   table of 8 bytes an anchor) and joined to the text. The text's own shuffle is written once and used by both joins.
+3. That gives contexts, the bytes under an anchor's run of windows. First only their hashes are dealt by anchor hash and sorted: a
+   context equal to an earlier one of its anchor is matched as a whole, and an anchor with one distinct context is done.
+4. The first ones of the others are fetched and dealt with their bytes, in whole anchor groups, up to CHUNK bytes at a time. Of each
+   chunk a run-length index is built: the Burrows-Wheeler transform as runs, with text positions sampled at the ends of
    runs, and the heads of the row intervals whose suffixes share LENGTH bytes. The contexts are streamed backwards through it,
    all side by side, one LF step a byte; a position whose interval has an earlier member matches over LENGTH bytes or more.
 5. The matched spans are gathered by document and joined to the text.
 
-Contexts equal to an earlier one of their group are matched as wholes and not indexed again, so groups of copies cost little.
-An anchor with over HOT contexts would be too much for a task. Its contexts are merged by their 128-bit hash with partial
-aggregation first, and the distinct ones by window in the same way: exact, and without any large group.
+So groups of copies cost little. An anchor with over HOT contexts would be too much for a task. Its contexts are merged by their 128-bit hash with partial
+aggregation first, and the distinct ones by window in the same way: exact, and without any large group. Only the count of step 2
+sees a hot anchor's rows, of 24 bytes each, in one task: a window that spills.
 
 Defined results: null text is empty. Rows with a null doc_id lose nothing and are nobody's source. Rows with the same doc_id and
 the same text are one document; with different texts they are ordered by the text's hash.
@@ -27,7 +29,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch, cut, id_and_text, limit_arrow, partitions, table, to_arrow
@@ -51,7 +54,7 @@ def gram_hashes(text: np.ndarray, size: int) -> np.ndarray:
             return np.zeros(0, np.uint64)
         h = h[:-k] * base + h[k:]
         h ^= h >> np.uint64(32)
-        base = base * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(2)
+        base = np.uint64((int(base) * 0xBF58476D1CE4E5B9 + 2) & ((1 << 64) - 1))
         k *= 2
     h *= np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(29))
@@ -66,7 +69,7 @@ def sliding_least(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text number, anchor hash, first window, windows) of each run of windows with one anchor. Texts are put together, and
+    """(text number, anchor hash, first window, windows, anchor's offset) of each run of windows with one anchor. Texts are put together, and
     windows that would cross from one to the next are left out."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
@@ -85,10 +88,10 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
             continue
         a, doc = a[s], doc[s]
         head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])]))
-        found.append((doc[head], h[a[head]].view(np.int64), at + s[head] - starts[doc[head]], np.diff(np.append(head, len(s)))))
+        found.append((doc[head], h[a[head]].view(np.int64), at + s[head] - starts[doc[head]], np.diff(np.append(head, len(s))), a[head] - s[head]))
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(5))
 
 
 class RunLengthIndex:
@@ -107,19 +110,20 @@ class RunLengthIndex:
         data[: len(raw)] = raw
         data += len(texts)
         data[self.ends] = np.arange(len(texts))  # marks are smaller than bytes and differ
-        rank, k, at = np.unique(data, return_inverse=True)[1], 1, {1: data}
+        width = int(data.max() + 1).bit_length()
+        k = max(k for k in (1, 2, 4) if k * width < 63)
         longest = int(sizes.max())
-        while k < longest or k < length:
+        sa, rank, unique = self.ranked(self.packed(data, k, width))
+        at = {1: data, k: rank}
+        while not unique and k < longest:
             nxt = np.zeros(n, np.int64)
             nxt[:-k] = rank[k:] + 1
-            order = np.argsort(rank * (n + 1) + nxt)
-            key = rank[order] * (n + 1) + nxt[order]
-            new = np.empty(n, np.int64)
-            new[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-            rank, k = new, 2 * k
-            if k <= length:
-                at[k] = rank
-        sa = np.argsort(rank)
+            sa, rank, unique = self.ranked(rank * (n + 1) + nxt)
+            k *= 2
+            at[k] = rank
+        for p in (1 << i for i in range(length.bit_length()) if length >> i & 1):
+            if p not in at:  # beyond k all suffixes differ
+                at[p] = rank if p > k else self.ranked(self.packed(data, p, width))[1]
         # rows that share `length` bytes with the row before: by the ranks of the powers of two that make up the length
         same, done = np.ones(n - 1, bool), 0
         for p in sorted((p for p in at if length & p), reverse=True):
@@ -144,6 +148,24 @@ class RunLengthIndex:
         self.end_row[:] = np.arange(len(texts))  # the mark of text j is the j-th smallest suffix
         self.longest = longest
 
+    @staticmethod
+    def packed(data: np.ndarray, k: int, width: int) -> np.ndarray:
+        """The k symbols at each position in one number; past the end they are zero."""
+        key = np.zeros(len(data), np.int64)
+        for j in range(k):
+            key <<= width
+            key[: len(data) - j] |= data[j:] + 1
+        return key
+
+    @staticmethod
+    def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """(positions in the order of their keys, rank of each position, whether all differ)."""
+        order = np.argsort(key)
+        k = key[order]
+        rank = np.empty(len(key), np.int64)
+        rank[order] = place = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
+        return order, rank, int(place[-1]) == len(key) - 1
+
     def back(self, row: np.ndarray) -> np.ndarray:
         """Row of the suffix that is one byte longer."""
         r = np.searchsorted(self.run_start, row, side="right") - 1
@@ -229,48 +251,105 @@ def marks_of(groups: list[list[tuple]], length: int = LENGTH) -> list[tuple]:
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, tkey; tkey only tells rows of one doc_id apart, and is zero where there are none such."""
+#: Stands for a null doc_id inside this module: keys that can't be null keep the two joins' shuffles of the text alike.
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(doc_id, text, tkey; the columns that tell documents apart): tkey only tells rows of one doc_id apart, and is zero where
+    there are none such."""
     own = id_and_text(docs)
-    again = own.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
-    return own.withColumn("tkey", F.lit(0).cast("long") if again else F.xxhash64(F.coalesce("text", F.lit(""))))
+    again = not own.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
+    tkey = F.xxhash64(F.coalesce("text", F.lit(""))) if again else F.lit(0).cast("long")
+    return own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", tkey.alias("tkey")), ["doc_id", "tkey"] if again else ["doc_id"]
 
 
-ANCHORS = "doc_id long, tkey long, ahash long, start int, windows int"
+ANCHORS = "ahash long, doc_id long, tkey long, place long"
 MARKS = "doc_id long, tkey long, a int, b int"
+CONTEXTS = "ahash long, doc_id long, tkey long, start int, ctx binary"
+HASHES = "ahash long, chash long, doc_id long, tkey long, place long"
+FIRSTS = "doc_id long, tkey long, place long, matched boolean"
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    arrow = to_arrow(docs.sparkSession, ANCHORS)
+def unpack(place: int) -> tuple[int, int, int]:
+    """(start, bytes of the context, start of the anchor)."""
+    return place >> 14, (place >> 7 & 127) + LENGTH - 1, (place >> 14) + (place & 127)
+
+
+def anchor_lists(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, cold, hot: the anchors that occur twice or more, packed as start << 14 | windows << 7 | anchor's offset; hot ones
+    have over HOT occurrences."""
+    spark = docs.sparkSession
+    arrow = to_arrow(spark, ANCHORS)
 
     def run(batches):
         for b in batches:
             ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            d, h, s, n = anchors([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])
+            d, h, s, n, off = anchors([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])
             if len(d):
-                yield batch({"doc_id": ids[d], "tkey": keys[d], "ahash": h, "start": s, "windows": n}, arrow)
+                yield batch({"ahash": h, "doc_id": ids[d], "tkey": keys[d], "place": s << 14 | n << 7 | off}, arrow)
 
-    long = docs.where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
-    return long.select("doc_id", "text", "tkey").mapInArrow(run, ANCHORS)
+    rows = docs.where((F.col("doc_id") != NO_ID) & (F.octet_length("text") >= LENGTH)).mapInArrow(run, ANCHORS)
+    counted = rows.repartition(partitions(spark), "ahash").withColumn("n", F.count("*").over(Window.partitionBy("ahash"))).where("n > 1")
+    hot = F.col("n") > HOT
+    return counted.groupBy(*keys).agg(F.collect_set(F.when(~hot, F.col("place"))).alias("cold"), F.collect_set(F.when(hot, F.col("place"))).alias("hot"))
 
 
-def context_rows(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """ahash, hot, doc_id, tkey, start, ctx."""
-    schema = "ahash long, hot boolean, doc_id long, tkey long, start int, ctx binary"
+def context_rows(docs: DataFrame, lists: DataFrame, keys: list[str], hashes: bool = False) -> DataFrame:
+    """The contexts of the anchors in lists (keys, places): their bytes, or only their hashes."""
+    schema = HASHES if hashes else CONTEXTS
     arrow = to_arrow(docs.sparkSession, schema)
-    lists = candidates.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "windows", "ahash", "hot")).alias("c"))
 
     def run(batches):
+        h64 = lambda x: xxhash.xxh64_intdigest(x) - (1 << 63)
         for b in batches:
             out = {f.name: [] for f in arrow}
-            for i, t, k, c in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                for x in c:
-                    s = x["start"]
-                    for name, v in zip(out, (x["ahash"], x["hot"], i, k, s, t[s : s + x["windows"] + LENGTH - 1]), strict=True):
-                        out[name].append(v)
+            for i, t, k, places in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                at = list(map(unpack, places))
+                ctx = [t[s : s + n] for s, n, _ in at]
+                out["ahash"] += [h64(t[g : g + GRAM]) for _, _, g in at]
+                out["doc_id"] += [i] * len(places)
+                out["tkey"] += [k] * len(places)
+                if hashes:
+                    out["chash"] += map(h64, ctx)
+                    out["place"] += places
+                else:
+                    out["start"] += [s for s, _, _ in at]
+                    out["ctx"] += ctx
             yield batch(out, arrow)
 
-    return docs.join(lists, ["doc_id", "tkey"]).select("doc_id", "text", "tkey", "c").mapInArrow(run, schema)
+    return docs.join(lists, keys).select("doc_id", "text", "tkey", "places").mapInArrow(run, schema)
+
+
+def firsts(hashes: DataFrame) -> DataFrame:
+    """doc_id, tkey, place, matched: contexts equal to an earlier one of their anchor (matched), and the first ones of anchors that
+    have several. Streams over sorted rows and holds one."""
+    spark = hashes.sparkSession
+    arrow = to_arrow(spark, FIRSTS)
+
+    def run(batches):
+        anchor = context = last = None
+        held: tuple | None = None
+        for b in batches:
+            out: list[tuple] = []
+            for a, c, doc, key, place in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (doc, key, place) == last:  # repeated rows of one document count once
+                    continue
+                last = (doc, key, place)
+                if a != anchor:
+                    anchor, context, held = a, c, (doc, key, place, False)
+                elif c == context:
+                    out.append((doc, key, place, True))
+                else:
+                    if held:
+                        out.append(held)
+                        held = None
+                    context = c
+                    out.append((doc, key, place, False))
+            yield batch(dict(zip(("doc_id", "tkey", "place", "matched"), zip(*out, strict=True) if out else ((),) * 4, strict=True)), arrow)
+
+    dealt = hashes.repartition(partitions(spark), "ahash").sortWithinPartitions("ahash", "chash", "doc_id", "tkey", "place")
+    return dealt.mapInArrow(run, FIRSTS)
 
 
 def index_marks(contexts: DataFrame) -> DataFrame:
@@ -295,14 +374,14 @@ def index_marks(contexts: DataFrame) -> DataFrame:
                     if held >= CHUNK:
                         yield marks()
                         groups, held = [], 0
-                if not group or ctx[:3] != group[-1][:3]:  # repeated rows of one document count once
+                if not group or tuple(ctx[:3]) != group[-1][:3]:  # repeated rows of one document count once
                     group.append(tuple(ctx))
         if len(group) > 1:
             groups.append(group)
         if groups:
             yield marks()
 
-    dealt = contexts.select("ahash", "doc_id", "tkey", "start", "ctx").repartition(partitions(spark), "ahash").sortWithinPartitions("ahash", "doc_id", "tkey", "start")
+    dealt = contexts.repartition(partitions(spark), "ahash").sortWithinPartitions("ahash", "doc_id", "tkey", "start")
     return dealt.mapInArrow(run, MARKS)
 
 
@@ -321,17 +400,18 @@ def hot_marks(contexts: DataFrame) -> DataFrame:
     return late.unionByName(single)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey, a, b: spans (they may overlap) of bytes to remove; docs has doc_id, text, tkey."""
-    rows = anchor_rows(docs)
-    counts = cut(rows.groupBy("ahash").agg(F.count("*").alias("n")).where("n > 1"))
-    top = counts.agg(F.max("n")).first()[0] or 0
-    candidates = rows.join(counts, "ahash").select("doc_id", "tkey", "start", "windows", "ahash", (F.col("n") > HOT).alias("hot"))
-    contexts = context_rows(docs, candidates)
-    if top <= HOT:
-        return index_marks(contexts)
-    contexts = cut(contexts)
-    return index_marks(contexts.where("not hot")).unionByName(hot_marks(contexts.where("hot")))
+def repeated_spans(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """doc_id, tkey, a, b: spans (they may overlap) of bytes to remove; docs and keys are of keyed()."""
+    lists = cut(anchor_lists(docs, keys))
+    some = lambda c: lists.where(F.size(c) > 0).select(*keys, F.col(c).alias("places"))
+    first = firsts(context_rows(docs, some("cold"), keys, hashes=True))
+    start, size = F.shiftright("place", 14), F.shiftright("place", 7).bitwiseAND(F.lit(127)) + (LENGTH - 1)
+    whole = first.where("matched").select("doc_id", "tkey", start.cast("int").alias("a"), (start + size).cast("int").alias("b"))
+    rest = first.where("not matched").groupBy(*keys).agg(F.collect_set("place").alias("places"))
+    marks = whole.unionByName(index_marks(context_rows(docs, rest, keys)))
+    if lists.where(F.size("hot") > 0).isEmpty():
+        return marks
+    return marks.unionByName(hot_marks(context_rows(docs, some("hot"), keys)))
 
 
 def without(text: bytes, marks: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -357,8 +437,8 @@ def deduplicated(docs: DataFrame, full: bool = False) -> DataFrame:
     limit_arrow(spark)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full
     arrow = to_arrow(spark, schema)
-    own = keyed(docs)
-    marks = repeated_spans(own).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("a", "b")).alias("m"))
+    own, keys = keyed(docs)
+    marks = repeated_spans(own, keys).groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("m"))
 
     def run(batches):
         for b in batches:
@@ -369,7 +449,7 @@ def deduplicated(docs: DataFrame, full: bool = False) -> DataFrame:
                     out[name].append(v)
             yield batch(out, arrow)
 
-    return own.join(marks, ["doc_id", "tkey"], "left").select("doc_id", "text", "m").mapInArrow(run, schema)
+    return own.join(marks, keys, "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "m").mapInArrow(run, schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
