@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, id_and_text, limit_arrow, partitions, shared_dir, table, to_arrow
+from .common import Memory, batch, id_and_text, limit_arrow, partitions, shared_dir, table, to_arrow
 
 MAGIC, HEAD = b"TLB1", "<4sIQQQ"
 BLOCK = 4096
@@ -59,9 +59,10 @@ def unpack_bits(data: bytes, n: int, width: int) -> np.ndarray:
     return bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
 
 
-def pack(docs: list[np.ndarray], width: int) -> bytes:
-    """The file image of the documents' ids."""
-    ids = np.concatenate([*docs, np.zeros(0, np.uint32)]).astype(np.uint32)
+def pack(docs: list[np.ndarray], width: int, ids: np.ndarray | None = None) -> bytes:
+    """The file image of the documents' ids; ids: all of them in one, if at hand."""
+    if ids is None:
+        ids = np.concatenate([*docs, np.zeros(0, np.uint32)]).astype(np.uint32)
     if len(ids) and int(ids.max()) >> width:
         raise ValueError(f"an id needs more than {width} bits")
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype("<u8")
@@ -70,6 +71,12 @@ def pack(docs: list[np.ndarray], width: int) -> bytes:
     return struct.pack(HEAD, MAGIC, width, len(docs), len(ids), len(blocks)) + offsets.tobytes() + at.tobytes() + b"".join(blocks)
 
 
+def pack_bytes(docs: list[bytes], width: int) -> bytes:
+    """The same of ids that are little-endian 32-bit numbers already."""
+    ids = np.frombuffer(b"".join(docs), "<u4")
+    return pack(np.split(ids, np.cumsum([len(d) // 4 for d in docs])[:-1]), width, ids)
+
+
 class Packed:
     """Random access to a file image."""
 
@@ -96,15 +103,18 @@ class Packed:
 
 #: Characters that Python's re could split otherwise than the tokenizer: numbers that \d lacks, unassigned characters, and
 #: white space that only one of the two takes for such.
+RARE = 0x20000  # characters from here on aren't looked at one by one
 ODD_ASCII = bytes(range(28, 32))
-ODD = bytes(c == 133 or c > 127 and unicodedata.category(chr(c)) in ("No", "Nl", "Cn") for c in range(0x110000))
+ODD = bytes(c == 133 or c > 127 and unicodedata.category(chr(c)) in ("No", "Nl", "Cn") for c in range(RARE))
 ASCII = bytes(range(128))
 
 
 def odd(raw: bytes) -> bool:
     if len(raw.translate(None, ODD_ASCII)) != len(raw):
         return True
-    return not raw.isascii() and any(ODD[ord(c)] for c in set(raw.translate(None, ASCII).decode()))
+    return not raw.isascii() and any(ord(c) >= RARE or ODD[ord(c)] for c in set(raw.translate(None, ASCII).decode()))
+
+
 
 
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -119,7 +129,7 @@ class ByteEncoder:
 
         self.t = Tokenizer.from_file(path)
         self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.memory = Memory(REMEMBERED)
         self.vocabulary = self.t.get_vocab_size()
 
     def exact(self, text: str) -> bytes:
@@ -129,19 +139,10 @@ class ByteEncoder:
         text = raw.decode()
         if odd(raw) or any(s in text for s in self.special):
             return self.exact(text)
-        pieces = SPLIT.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(pieces))
-        for p, e in zip(new, self.t.encode_batch(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[p] for p in pieces])
+        return b"".join(self.memory.values(SPLIT.findall(text), self.learn))
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch(pieces, add_special_tokens=False)]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -156,10 +157,10 @@ def byte_encoder(path: str) -> ByteEncoder:
 
 
 def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int = 0) -> None:
-    """Write the packed ids of all documents, in ascending doc_id order, to the table `out`: shard, segment, doc_ids,
+    """Write the packed ids of all documents, in ascending doc_id order, to the table `out`: shard, segment, n_ids, doc_ids,
     content (the file image)."""
     at, end = path or tokenizer_path(), np.array([end_id], "<u4").tobytes()
-    schema = "shard int, segment int, doc_ids array<long>, content binary"
+    schema = "shard int, segment int, n_ids long, doc_ids array<long>, content binary"
     limit_arrow(docs.sparkSession)
     arrow = to_arrow(docs.sparkSession, schema)
 
@@ -170,13 +171,13 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int =
         width, ids, held, n = width_of(e.vocabulary), [], [], 0
 
         def segment():
-            return batch({"shard": [shard], "segment": [k], "doc_ids": [ids], "content": [pack(held, width)]}, arrow)
+            return batch({"shard": [shard], "segment": [k], "n_ids": [n], "doc_ids": [ids], "content": [pack_bytes(held, width)]}, arrow)
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 ids.append(i)
-                held.append(np.frombuffer(e.encode(t or b"") + end, "<u4"))
-                n += len(held[-1])
+                held.append(e.encode(t or b"") + end)
+                n += len(held[-1]) // 4
                 if n >= SEGMENT:
                     yield segment()
                     k, ids, held, n = k + 1, [], [], 0
@@ -198,15 +199,16 @@ def read_ids(spark: SparkSession, at: str) -> DataFrame:
                 p = Packed(content)
                 n = np.diff(p.offsets.astype(np.int64))
                 whole = p.ids(0, p.n_ids).astype("<u4")
-                crc = [zlib.crc32(whole[int(x) : int(x) + int(y)].tobytes()) for x, y in zip(p.offsets[:-1], n, strict=True)]
+                raw = memoryview(whole.tobytes())
+                crc = [zlib.crc32(raw[4 * x : 4 * (x + y)]) for x, y in zip(p.offsets[:-1].tolist(), n.tolist(), strict=True)]
                 m = len(ids)
                 yield batch({"shard": [shard] * m, "segment": [seg] * m, "k": list(range(m)), "doc_id": ids, "n_tokens": n, "ids_crc32": crc}, arrow)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    files = spark.read.schema("shard int, segment int, doc_ids array<long>, content binary").parquet(at)
+    files = spark.read.schema("shard int, segment int, n_ids long, doc_ids array<long>, content binary").parquet(at)
     rows = files.select("shard", "segment", "doc_ids", "content").mapInArrow(run, schema)
     # one sum for each shard, of which there are as many as write_ids had partitions; the window then stays inside a shard
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     inside = Window.partitionBy("shard").orderBy("segment", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
