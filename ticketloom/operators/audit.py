@@ -6,8 +6,13 @@ its own content and the hash before it, so verification needs no fold: the hash
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import formula_safe, mask_pan
 
@@ -34,14 +39,25 @@ def content(columns: list[str]) -> Column:
 
 
 def link(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """df with prev_hash and row_hash: a chain for each key by seq. The fold of a chain runs over its ordered contents, so a key's
-    records must fit a task; verification has no such bound."""
-    step = lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), x["c"]), 256)))
-    grouped = df.withColumn("_c", content(columns)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", F.col("_c").alias("c")))).alias("_r"))
-    hashes = F.aggregate("_r", F.array(F.lit(GENESIS)), step)
-    chained = grouped.select(key, F.inline(F.zip_with("_r", F.slice(F.sequence(F.lit(0), F.size("_r")), F.lit(1), F.size("_r")), lambda r, i: F.struct(r["seq"].alias("seq"), i.alias("_i")))), hashes.alias("_h"))
-    out = chained.select(F.col(key).alias("_k"), F.col("seq").alias("_s"), F.get("_h", F.col("_i")).alias("prev_hash"), F.get("_h", F.col("_i") + 1).alias("row_hash"))
-    return df.join(out, (df[key] == F.col("_k")) & (df["seq"] == F.col("_s"))).drop("_k", "_s")
+    """df with prev_hash and row_hash: a chain for each key by seq. A key's records are sorted in one task, which spills, and streamed
+    with only the last hash held."""
+    at = df.columns.index(key)
+    shaped = df.withColumn("_c", content(columns)).repartition(key).sortWithinPartitions(key, "seq", "_c")
+    schema = StructType([*df.schema.fields, StructField("prev_hash", StringType()), StructField("row_hash", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last = None, GENESIS
+        for b in batches:
+            before, own = [], []
+            for k, c in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if k != of:
+                    of, last = k, GENESIS
+                before.append(last)
+                last = hashlib.sha256((last + c).encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(before, pa.string()), pa.array(own, pa.string())], names=[*b.schema.names[:-1], "prev_hash", "row_hash"])
+
+    return shaped.mapInArrow(run, schema)
 
 
 def verify(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

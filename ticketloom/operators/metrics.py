@@ -23,10 +23,19 @@ def histogram(df: DataFrame, value: str, by: list[str] = (), bounds: tuple[float
 def exclusive_percentile(df: DataFrame, value: str, p: float, by: list[str]) -> DataFrame:
     """by, n, value at rank p * (n + 1), interpolated between neighbours (the exclusive definition, which Spark's percentile isn't);
     null for fewer than two values."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.row_number().over(w.orderBy(value)).alias("_r"), F.count("*").over(w).alias("n"))
+    rows = df.select((F.struct(*by) if by else F.lit(0)).alias("_g"), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    k = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(rows.approxQuantile("_v", [i / k for i in range(1, k)], 1 / (4 * k)))) if k > 1 else []
+    # Equal values are one row, and a range of values is one task: no task ranks a whole group.
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: F.col("_v") > b)) if bounds else F.lit(0)
+    counts = rows.groupBy("_g", "_v").agg(F.count("*").alias("_c")).withColumn("_b", bucket)
+    w = Window.partitionBy("_g")
+    sums = counts.groupBy("_g", "_b").agg(F.sum("_c").alias("_s"))
+    sums = sums.select("_g", "_b", "_s", (F.sum("_s").over(w.orderBy("_b")) - F.col("_s")).alias("_base"), F.sum("_s").over(w).alias("n")).where("n > 1")
     pos = F.lit(p) * (F.col("n") + 1)
     low: Column = F.least(F.greatest(F.floor(pos), F.lit(1)), F.col("n") - 1)
-    pick = lambda at: F.max(F.when(F.col("_r") == at, F.col("_v")))
-    out = ranked.withColumns({"_low": low, "_pos": pos}).groupBy(*by, "n", "_low", "_pos").agg(pick(F.col("_low")).alias("_a"), pick(F.col("_low") + 1).alias("_b"))
-    return out.where("n > 1").select(*by, "n", (F.col("_a") + (F.col("_pos") - F.col("_low")) * (F.col("_b") - F.col("_a"))).alias("value"))
+    held = sums.withColumns({"_low": low, "_pos": pos}).where("_base <= _low and _base + _s >= _low")  # those with either rank
+    ranked = counts.join(held, ["_g", "_b"]).withColumn("_to", F.col("_base") + F.sum("_c").over(Window.partitionBy("_g", "_b").orderBy("_v")))
+    pick = lambda at: F.max(F.when((F.col("_to") - F.col("_c") < at) & (F.col("_to") >= at), F.col("_v")))
+    out = ranked.groupBy("_g", "n", "_low", "_pos").agg(pick(F.col("_low")).alias("_a"), pick(F.col("_low") + 1).alias("_z"))
+    return out.select(*(F.col("_g")[c].alias(c) for c in by), "n", (F.col("_a") + (F.col("_pos") - F.col("_low")) * (F.col("_z") - F.col("_a"))).alias("value"))

@@ -6,9 +6,11 @@ don't count. That is a fold over a key's events in time order: a state for each
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +37,23 @@ def run(events, state, max_failures, window, block):
 
 
 def limit(events: DataFrame, max_failures: int = 5, window: float = 300, block: float = 900) -> DataFrame:
-    """key, ts, blocked, failures after each event; events: key, ts, ok. A key's events are one group."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = run(pdf.sort_values("ts", kind="stable").itertuples(), ([], 0.0), max_failures, window, block)
-        return pd.DataFrame(rows, columns=["key", "ts", "blocked", "failures"])
-
-    return events.select("key", F.col("ts").cast("timestamp").alias("ts"), "ok").groupBy("key").applyInPandas(fold, OUT)
+    """key, ts, blocked, failures after each event; events: key, ts, ok. A key's events are sorted in one task, which spills, and
+    streamed with only the limiter's state held; at one time failures come before successes."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, state = None, ([], 0.0)
+        for b in batches:
+            keys, blocked, failures = b.column(0).to_pylist(), [], []
+            for k, t, ok in zip(keys, b.column(1).cast(pa.int64()).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if k != of:
+                    of, state = k, ([], 0.0)
+                state, met = step(state, math.nan if t is None else t / 1e6, bool(ok), max_failures, window, block)
+                blocked.append(met)
+                failures.append(len(state[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), b.column(1), pa.array(blocked, pa.bool_()), pa.array(failures, pa.int32())], names=["key", "ts", "blocked", "failures"])
+
+    rows = events.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "ok")
+    return rows.repartition("key").sortWithinPartitions("key", "ts", "ok").mapInArrow(fold, OUT)
 
 
 def limit_stream(events: DataFrame, max_failures: int = 5, window: float = 300, block: float = 900) -> DataFrame:
