@@ -196,10 +196,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = BUDGET) -> Da
 
 
 def one_of_each(docs: DataFrame, words: int = 3, budget: int = BUDGET) -> DataFrame:
-    """The rows of docs, all columns as they are, that name their component; of rows with one doc_id all stay or go, and rows
-    without doc_id stay."""
-    go = near_duplicates(docs, words, budget).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(go, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of docs, all columns as they are, that have the least (doc_id, text hash) of their component; rows of one doc_id and
+    one text all stay or go, and rows without doc_id stay."""
+
+    def named(ids: list, texts: list[bytes]) -> dict[str, list]:
+        return {"_id": ids, "_tkey": [signed(xxhash.xxh64_intdigest(t, 42)) for t in texts], "fp": [signed(fingerprint(t, words)) for t in texts]}
+
+    rows = cut(map_texts(docs, "_id long, _tkey long, fp long", named).where("_id is not null"))
+    roots_of = components(trie_links(rows.select("fp").distinct(), budget)).withColumnRenamed("node", "fp")
+    me = F.struct("_id", "_tkey")
+    rooted = rows.groupBy("fp").agg(F.min(me).alias("first")).join(roots_of, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
+    go = rows.join(least, "fp").where(me != F.col("least")).select("_id", "_tkey").distinct()
+    tkey = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(go, (docs["doc_id"].cast("long") == F.col("_id")) & (tkey == F.col("_tkey")), "left_anti")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
