@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,22 +24,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def limit_arrow(spark: SparkSession, records: int = 1000) -> None:
-    """Bound the rows of an Arrow batch: texts have no size limit, so 10,000 of them may not fit a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > records:
-        spark.conf.set(key, str(records))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of a few rows. Spark closes a batch at 64 MB; what Python makes of one must not be a multiple of that."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where none is configured (tests)."""
+    """The folder that driver and executors share. Where none is configured, one is made in local mode only: there the driver is
+    the one executor."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ticketloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cheaper to read often than a checkpoint. The folder may go when the
+    result has been read."""
+    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Eager checkpoint in the shared folder: survives lost executors and cuts the lineage."""
     shared_dir(df.sparkSession)
@@ -56,11 +68,10 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 def map_texts(docs: DataFrame, schema: str, rows: Callable[[list, list[bytes]], dict[str, list]]) -> DataFrame:
     """One output row per document: rows(ids, texts as UTF-8; null is empty) gives the columns of a batch."""
-    limit_arrow(docs.sparkSession)
     out = to_arrow(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(0).to_pylist()
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield batch(rows(ids, texts), out)
@@ -70,27 +81,30 @@ def map_texts(docs: DataFrame, schema: str, rows: Callable[[list, list[bytes]],
 
 def keep_texts(docs: DataFrame, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:
     """The rows of docs, all columns as they are, for which keep(texts as UTF-8; null is empty) says so. No shuffle."""
-    limit_arrow(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(keep([t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 class Memory:
-    """Values of keys met before, up to a number of places; a key takes one, and one more for every 32 characters. When it is
-    full it starts anew."""
+    """Values of keys met before, in two generations: a full young one becomes the old one, from which keys that are met again come
+    back. `places` bounds both together; a key takes one place, and one more for every 32 characters."""
 
-    def __init__(self, places: int):
-        self.places = self.room = places
-        self.known: dict = {}
+    def __init__(self, places: int, learn: Callable[[list], list]):
+        self.places = self.room = places // 2
+        self.learn = learn
+        self.young: dict = {}
+        self.old: dict = {}
 
-    def values(self, keys: list, learn: Callable[[list], list]) -> list:
+    def values(self, keys: list) -> list:
         """The value of each key; learn(keys) gives those of keys that aren't known."""
-        got = list(map(self.known.get, keys))
+        got = list(map(self.young.get, keys))
+        if None not in got:
+            return got
         at, i = [], -1
         try:
             while True:
@@ -98,16 +112,21 @@ class Memory:
                 at.append(i)
         except ValueError:
             pass
-        if at:
-            new = list({keys[i] for i in at})
-            made = dict(zip(new, learn(new), strict=True))
-            self.room -= sum(1 + len(k) // 32 for k in new)
-            if self.room < 0:
-                self.known.clear()
-                self.room = self.places
-            self.known.update(made)
-            for i in at:
-                got[i] = made[keys[i]]
+        want = dict.fromkeys(map(keys.__getitem__, at))
+        new = []
+        for k in want:
+            v = self.old.get(k)
+            if v is None:
+                new.append(k)
+            else:
+                want[k] = v
+        want.update(zip(new, self.learn(new), strict=True))
+        self.room -= len(want) + sum(map(len, want)) // 32
+        if self.room < 0:
+            self.old, self.young, self.room = self.young, {}, self.places
+        self.young.update(want)
+        for i in at:
+            got[i] = want[keys[i]]
         return got
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIN_SIMILARITY, SHINGLE_WORDS, WORD_BYTES, batch, id_and_text, keep_texts, limit_arrow, table, to_arrow
+from .common import MIN_SIMILARITY, SHINGLE_WORDS, WORD_BYTES, batch, id_and_text, keep_texts, slices, table, to_arrow
 
 #: Shingles of the items that a task holds at a time.
 BLOCK = 2_000_000
@@ -130,14 +130,13 @@ def blocks(items: DataFrame, size: int = BLOCK) -> list[list[tuple[int, bytes]]]
 def contained(docs: DataFrame, items: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment: the items that documents contain."""
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
-    limit_arrow(docs.sparkSession)
     arrow = to_arrow(docs.sparkSession, schema)
     out = None
     for block in blocks(items):
 
         def run(batches, block=block):
             held = Items(block, least)
-            for b in batches:
+            for b in slices(batches):
                 rows = {"doc_id": [], "item_id": [], "n_shingles": [], "n_shared": [], "containment": []}
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                     for k, shared in held.search(t or b""):

@@ -7,9 +7,12 @@ position as failed in a bit field, so that it is never tried twice, and step bac
 
 Texts are cut where no piece can reach across: before each space mark that follows another character (checked against the
 vocabulary when the model is loaded) and around characters that the vocabulary lacks, which become byte pieces. Such
-segments are encoded once for each task, in a table of bounded size.
+segments are encoded once as long as a table of bounded size holds them.
 
 The model file is read directly (its protobuf fields), so the encoder needs no compiled model class.
+
+Defined results: null text is empty, and its ids are the end id alone; rows with a repeated or null doc_id are encoded each on
+their own and keep their doc_id.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +29,10 @@ from .common import Memory, map_texts, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Places for segments that a task remembers.
-REMEMBERED = 400_000
+#: Places for segments that a worker remembers.
+REMEMBERED = 800_000
+#: A word and the punctuation after it.
+TAILED = re.compile(r"(?s)(.*[^\W\d_])(\W+)")
 
 
 def varint(data: bytes, i: int) -> tuple[int, int]:
@@ -90,13 +96,13 @@ class Encoder:
         self.m = m = Model(path)
         if any(a != MARK == b for p in m.id for a, b in zip(p, p[1:], strict=False)):
             raise ValueError("a piece reaches over the start of a word")
-        self.pair: dict[tuple[str, str], bool] = {}
+        self.pair: dict[int, bool] = {}
         self.auto = ahocorasick.Automaton()
         # A piece that merging never leaves whole (it has no way to come about) can't be in a result.
         self.halves: dict[str, tuple[str, str]] = {}
         for p in m.id:
             if self.merge(p, self.halves) == [p]:
-                self.auto.add_word(p[::-1], len(p))
+                self.auto.add_word(p[::-1], (len(p), m.id[p]))
         self.auto.make_automaton()
         # A part comes to be at its rank; single characters are there from the start.
         self.born = {p: r if len(p) > 1 else -1.0 for p, r in m.rank.items()}
@@ -105,12 +111,15 @@ class Encoder:
         for p in sorted(self.halves, key=len):
             if any(self.born[h] >= self.born[p] or h in self.early for h in self.halves[p]):
                 self.early.add(p)
-        self.memory = Memory(REMEMBERED)
+        self.memory = Memory(REMEMBERED, self.learn)
         self.chars = {p for p in m.id if len(p) == 1}
+        self.inside = {x for p in m.id for x in zip(p, p[1:], strict=False)}  # neighbours that a piece can join
+        self.tails: dict[str, tuple[int, ...]] = {}
         # the first alternative is what nearly all segments are
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.text_of = [b"" if k in (CONTROL, UNUSED) else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds, strict=True)]
+        self.text_of = [None if k == UNKNOWN else b"" if k in (CONTROL, UNUSED) else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds, strict=True)]
         self.is_byte = [k == BYTE for k in m.kinds]
+        self.decimal = [str(i) for i in range(len(m.pieces))]
 
     def merge(self, text: str, halves: dict | None = None) -> list[str]:
         """What merging the best-ranked neighbours, leftmost first, makes of a short text; the last merge goes to halves."""
@@ -128,12 +137,12 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, a: str, b: str) -> bool:
-        ok = self.pair.get((a, b))
-        if ok is None:
-            if len(self.pair) > 1_000_000:
-                self.pair.clear()
-            ok = self.pair[a, b] = self.merge(a + b) == [a, b] if a in self.early or b in self.early else self.stays_apart(a, b)
+    def fits(self, x: int, y: int) -> bool:
+        """Whether merging the text of pieces x and y gives these two again."""
+        if len(self.pair) > 1_000_000:
+            self.pair.clear()
+        a, b = self.m.pieces[x], self.m.pieces[y]
+        ok = self.pair[x << 20 | y] = self.merge(a + b) == [a, b] if a in self.early or b in self.early else self.stays_apart(a, b)
         return ok
 
     def stays_apart(self, a: str, b: str) -> bool:
@@ -154,65 +163,96 @@ class Encoder:
             else:
                 return True
 
-    def matches(self, s: str) -> list[list[int]]:
-        """For each position the lengths of the pieces that start there, longest first. The automaton runs over the
+    def matches(self, s: str) -> list[list[tuple[int, int]]]:
+        """For each position (length, id) of the pieces that start there, longest first. The automaton runs over the
         reversed text, so that a match's end there is its start here."""
-        n, found = len(s), [[] for _ in range(len(s) + 1)]
-        for end, length in self.auto.iter(s[::-1]):  # of those with one end, the longest comes first
-            found[n - 1 - end].append(length)
+        last, found = len(s) - 1, [[] for _ in s]
+        for end, match in self.auto.iter(s[::-1]):  # of those with one end, the longest comes first
+            found[last - end].append(match)
         return found
 
-    def backtrack(self, s: str) -> list[str]:
-        """The pieces of a text whose characters are all in the vocabulary."""
-        n, found, failed = len(s), self.matches(s), 0
-        out: list[str] = []
-        at, tried = 0, [0]  # tried[k]: how many of the lengths at the k-th piece's start have been tried
-        while at < n:
-            lengths, i, before = found[at], tried[-1], out[-1] if out else None
-            while i < len(lengths):
-                end = at + lengths[i]
+    def backtrack(self, s: str) -> list[int]:
+        """The ids of the pieces of a text whose characters are all in the vocabulary."""
+        n, found, failed, pair = len(s), self.matches(s), 0, self.pair
+        out: list[int] = []
+        starts, tried = [0], [0]  # tried[k]: how many of the pieces at the k-th start have been tried
+        while starts[-1] < n:
+            at, i = starts[-1], tried[-1]
+            before = out[-1] << 20 if out else 0
+            for length, piece in found[at][i:] if i else found[at]:
                 i += 1
-                if not failed >> end & 1 and (before is None or self.fits(before, s[at:end])):
-                    tried[-1] = i
-                    out.append(s[at:end])
-                    tried.append(0)
-                    at = end
-                    break
+                if failed and failed >> at + length & 1:
+                    continue
+                if out:
+                    ok = pair.get(before | piece)
+                    if ok is None:
+                        ok = self.fits(out[-1], piece)
+                    if not ok:
+                        continue
+                tried[-1] = i
+                out.append(piece)
+                starts.append(at + length)
+                tried.append(0)
+                break
             else:
                 if not out:
                     raise AssertionError(f"no encoding of {s!r}")
                 failed |= 1 << at
                 tried.pop()
-                at -= len(out.pop())
+                starts.pop()
+                out.pop()
         return out
 
     def segment(self, s: str) -> tuple[int, ...]:
         """The ids of a text without inner word starts."""
-        if all(map(self.chars.__contains__, s)):
-            return tuple(map(self.m.id.__getitem__, self.backtrack(s)))
+        if self.chars.issuperset(s):
+            return tuple(self.backtrack(s))
         ids, run = [], ""
         for c in s + "\0":  # characters that the vocabulary lacks part the text; the last one only ends the run
             if c in self.chars:
                 run += c
             else:
-                ids += map(self.m.id.__getitem__, self.backtrack(run))
+                ids += self.backtrack(run)
                 run = ""
                 ids += map(self.m.bytes.__getitem__, c.encode())
         return tuple(ids[:-1])
 
-    def learn(self, segments: list[str]) -> list[tuple[str, int, bytes]]:
-        """(ids as decimals, number of ids, decoded bytes) of each segment."""
-        out = []
-        for s in segments:
-            ids = self.segment(s)
-            out.append((" ".join(map(str, ids)), len(ids), b"".join(map(self.text_of.__getitem__, ids))))
-        return out
+    def learn(self, keys: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each segment; the mark before a word may be left out. A word is cut before its punctuation where no piece
+        joins the two, so that it is encoded once for all that follows it."""
+        cuts = [None if (x := TAILED.fullmatch(s)) is None or (x[1][-1], x[2][0]) in self.inside or MARK in x[2] else (x[1], x[2]) for s in keys]
+        heads = iter(self.memory.values([x[0] for x in cuts if x]))
+        return [next(heads) + self.tail(x[1]) if x else self.segment(s if s[:1] in (MARK, "\n") else MARK + s) for s, x in zip(keys, cuts, strict=True)]
+
+    def tail(self, s: str) -> tuple[int, ...]:
+        if s not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[s] = self.segment(s)
+        return self.tails[s]
 
     def segments(self, text: str) -> list[str]:
-        return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
+        """Keys of learn(). Where single spaces part all words, the words are; a new line that the vocabulary lacks starts one."""
+        if not text:
+            return []
+        lines = text if "\n" in self.chars else text.replace("\n", " \n")
+        if "  " in lines or MARK in lines or text[0] == " " or "\n" in self.chars and "\n" in text:
+            return self.cut.findall(MARK + text.replace(" ", MARK))
+        return lines.split(" ")
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for got in self.memory.values(self.segments(text), self.learn) for x in got[0].split()]
+        return list(chain.from_iterable(self.memory.values(self.segments(text))))
+
+    def decoded(self, ids: list[int]) -> bytes:
+        """decode() as UTF-8. Ids of whole characters are put together as they are; others go the long way."""
+        try:
+            raw = b"".join(map(self.text_of.__getitem__, ids))
+            if not ids or self.m.kinds[ids[0]] in (NORMAL, BYTE):
+                raw.decode()
+                return raw[1:] if raw.startswith(b" ") and self.m.kinds[ids[0]] == NORMAL else raw
+        except (TypeError, UnicodeDecodeError):  # an unknown id, or byte pieces that are no text
+            pass
+        return self.decode(ids).encode()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces are put together, invalid bytes become U+FFFD each, and the leading mark goes."""
@@ -233,13 +273,9 @@ class Encoder:
             out.append(piece)
         return "".join(out)
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids with the end id, SHA-256 of the decimal ids, SHA-256 of the decoded text. The decoded bytes of
-        a whole character never part between segments, so they are put together by segment."""
-        got = self.memory.values(self.segments(text), self.learn)
-        ids, n, back = zip(*got, strict=True) if got else ((), (), ())
-        raw = b"".join(back)
-        return sum(n) + 1, hashlib.sha256(" ".join([*ids, str(self.m.eos)]).encode()).hexdigest(), hashlib.sha256(raw[1:] if raw.startswith(b" ") else raw).hexdigest()
+    def digests(self, ids: list[int]) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded text."""
+        return len(ids), hashlib.sha256(" ".join(map(self.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(self.decoded(ids)).hexdigest()
 
 
 def readable(raw: bytes) -> str:
@@ -270,30 +306,23 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; null text is encoded as empty: the end id alone. path: a model file
-    that is installed on every executor, like the tokenizer package itself."""
+def encoded(docs: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:
+    """doc_id and the named columns: ids array<int> (with the end id), decoded (the text of these ids), their number and digests; one
+    row for each row of docs. path: a model file that is installed on every executor, like the tokenizer package itself."""
     at = path or model_path()
+    kinds = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+
+    def rows(doc_ids, texts):
+        e, out = encoder(at), {"doc_id": doc_ids} | {c: [] for c in columns}
+        for t in texts:
+            ids = [*e.encode(t.decode()), e.m.eos]
+            got = dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), e.digests(ids), strict=True)) if len(columns) > 2 else {}
+            for c in columns:
+                out[c].append(ids if c == "ids" else e.decoded(ids).decode() if c == "decoded" else got[c])
+        return out
 
-    def rows(ids, texts):
-        e = encoder(at)
-        got = [e.digest(t.decode()) for t in texts]
-        return {"doc_id": ids, "n_tokens": [g[0] for g in got], "ids_sha256": [g[1] for g in got], "decoded_sha256": [g[2] for g in got]}
-
-    return map_texts(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
-
-
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids array<int> (with the end id), decoded: the operator's own output."""
-    at = path or model_path()
-
-    def rows(ids, texts):
-        e = encoder(at)
-        got = [[*e.encode(t.decode()), e.m.eos] for t in texts]
-        return {"doc_id": ids, "ids": got, "decoded": [e.decode(g) for g in got]}
-
-    return map_texts(docs, "doc_id long, ids array<int>, decoded string", rows)
+    return map_texts(docs, ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in columns)]), rows)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded_digests(table(spark, sf_dir, "documents"))
+    return encoded(table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, cut, limit_arrow, map_texts, partitions, table
+from .common import WORD_BYTES, cut, map_texts, partitions, table
 
 BITS, BUDGET = 64, 3
 #: Shingles hashed at a time, so that a very long text needs no more memory than a long one.
@@ -164,7 +164,6 @@ def trie_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
             u, v = (rotate(keys[x], (BITS - width * i) % BITS).view(np.int64) for x in (own, lab[own]))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    limit_arrow(spark, 10000)
     return dealt.repartition(partitions(spark), "block", "head").select("fp", "block").mapInArrow(run, "u long, v long")
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, id_and_text, limit_arrow, partitions, table, to_arrow
+from .common import batch, cut, id_and_text, partitions, slices, table, to_arrow
 
 LENGTH, GRAM = 100, 32
 #: Bytes of contexts that are indexed at a time.
@@ -283,7 +283,7 @@ def anchor_lists(docs: DataFrame, keys: list[str]) -> DataFrame:
     arrow = to_arrow(spark, ANCHORS)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             d, h, s, n, off = anchors([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])
             if len(d):
@@ -302,7 +302,7 @@ def context_rows(docs: DataFrame, lists: DataFrame, keys: list[str], hashes: boo
 
     def run(batches):
         h64 = lambda x: xxhash.xxh64_intdigest(x) - (1 << 63)
-        for b in batches:
+        for b in slices(batches):
             out = {f.name: [] for f in arrow}
             for i, t, k, places in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 at = list(map(unpack, places))
@@ -330,7 +330,7 @@ def firsts(hashes: DataFrame) -> DataFrame:
     def run(batches):
         anchor = context = last = None
         held: tuple | None = None
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for a, c, doc, key, place in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (doc, key, place) == last:  # repeated rows of one document count once
@@ -364,7 +364,7 @@ def index_marks(contexts: DataFrame) -> DataFrame:
             got = marks_of(groups)
             return batch(dict(zip(("doc_id", "tkey", "a", "b"), zip(*got, strict=True) if got else ((), (), (), ()), strict=True)), arrow)
 
-        for b in batches:
+        for b in slices(batches):
             for h, *ctx in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if h != last:
                     if len(group) > 1:
@@ -434,14 +434,13 @@ def deduplicated(docs: DataFrame, full: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with full also kept (the bytes left, which needn't be UTF-8):
     one row for each row of docs."""
     spark = docs.sparkSession
-    limit_arrow(spark)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full
     arrow = to_arrow(spark, schema)
     own, keys = keyed(docs)
     marks = repeated_spans(own, keys).groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("m"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = {f.name: [] for f in arrow}
             for i, t, m in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
                 kept, removed, n = without(t or b"", [(x["a"], x["b"]) for x in m or ()])

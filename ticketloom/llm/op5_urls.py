@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, limit_arrow, table, to_arrow
+from .common import batch, slices, table, to_arrow
 
 BUCKETS, SIZES = 1 << 16, (3, 4, 5)
 MAX_LABELLED = 10_000
@@ -121,10 +121,9 @@ def judged(pages: DataFrame, key: str = "page_id", labelled: DataFrame | None =
     cut = pages.select(F.col(key).cast("long").alias(key), host.alias("host"), path.alias("path"))
     schema = f"{key} long, host string, path string, p_block double"
     out = to_arrow(pages.sparkSession, schema)
-    limit_arrow(pages.sparkSession, 10_000)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             hosts, paths = b.column(1).to_pylist(), b.column(2).to_pylist()
             p = []
             for h, q in zip(hosts, paths, strict=True):

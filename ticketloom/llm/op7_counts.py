@@ -36,7 +36,7 @@ class Counter:
             self.auto.add_word(p, (len(p), s))
         self.auto.make_automaton()
         self.unknown = min(s for _, s in pieces) - PENALTY
-        self.memory = Memory(REMEMBERED)
+        self.memory = Memory(REMEMBERED, self.learn)
 
     def best(self, s: str) -> tuple[int, float]:
         """(tokens, score) of a part, whose space mark is put before it here."""
@@ -67,7 +67,7 @@ class Counter:
         if not text:
             return 0, 0.0
         parts = (text if text[0] in " " + MARK else " " + text).replace(MARK, " ").split(" ")
-        n, score = zip(*self.memory.values(parts[1:], self.learn), strict=True)
+        n, score = zip(*self.memory.values(parts[1:]), strict=True)
         return sum(n), sum(score)
 
 
