@@ -88,7 +88,7 @@ def test_sentencepiece(spark, docs, none):
     for i, t in ROWS:
         ids = [*m.encode(t or ""), 2]
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(m.decode(ids).encode()).hexdigest()))
-    assert bag(tuple(r) for r in op2.encoded_digests(docs).collect()) == bag(want)
+    assert bag(tuple(r) for r in op2.encoded(docs, columns=("n_tokens", "ids_sha256", "decoded_sha256")).collect()) == bag(want)
     assert all(r.ids == [*m.encode(t or ""), 2] for r, t in zip(op2.encoded(spark.createDataFrame(ROWS[:5], "doc_id long, text string").coalesce(1)).collect(), [t for _, t in ROWS[:5]], strict=True))
     e, rng = op2.encoder(op2.model_path()), random.Random(1)
     for _ in range(3000):
@@ -97,7 +97,7 @@ def test_sentencepiece(spark, docs, none):
     for _ in range(500):
         ids = [rng.randrange(3, 500) for _ in range(rng.randint(1, 6))]
         assert e.decode(ids) == m.decode(ids), ids
-    assert op2.encoded_digests(none).count() == 0
+    assert op2.encoded(none).count() == 0
 
 
 def plain_components(fps):
@@ -190,7 +190,11 @@ def test_run_length_index(seed):
         j, o = op4.matched(texts, length)
         assert set(zip(j.tolist(), o.tolist(), strict=True)) == want
     index = op4.RunLengthIndex(texts, 4)
-    assert all((index.locate(row) == index.starts[j] + off).all() for j, off, row in index.rows())
+    at = np.zeros(index.n, int)
+    at[: len(texts)] = index.ends
+    for j, off, row in index.stream():
+        at[row] = index.starts[j] + off
+    assert (index.before(at[1:]) == at[:-1]).all()
 
 
 URLS = [
@@ -226,7 +230,7 @@ def plain_lines(rows):
 
 
 def test_lines(docs, none):
-    got = op6.with_bitmaps(docs).select("doc_id", F.size("lines"), "n_dropped", F.sha2(op6.kept_text(), 256)).collect()
+    got = op6.with_bitmaps(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(op6.kept_text(), 256)).collect()
     assert bag(tuple(r) for r in got) == bag(plain_lines(ROWS))
     assert op6.with_bitmaps(none).count() == 0
     new = op6.deduplicated(docs)
@@ -236,7 +240,7 @@ def test_lines(docs, none):
 def test_hot_lines(spark):
     rows = [(i, "\n".join(["the same line everywhere", f"own line number {i}", "x"])) for i in range(3000)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = op6.with_bitmaps(d).select("doc_id", F.size("lines"), "n_dropped", F.sha2(op6.kept_text(), 256)).collect()
+    got = op6.with_bitmaps(d).select("doc_id", "n_lines", "n_dropped", F.sha2(op6.kept_text(), 256)).collect()
     assert bag(tuple(r) for r in got) == bag(plain_lines(rows))
 
 

@@ -8,16 +8,19 @@ document and an earlier start). Each such string is a window; the work is dealt
 2. Anchors are dealt by hash and counted; those that occur once are dropped. The others are listed by document (a checkpointed
    table of 8 bytes an anchor) and joined to the text. The text's own shuffle is written once and used by both joins.
 3. That gives contexts, the bytes under an anchor's run of windows. First only their hashes are dealt by anchor hash and sorted: a
-   context equal to an earlier one of its anchor is matched as a whole, and an anchor with one distinct context is done.
-4. The first ones of the others are fetched and dealt with their bytes, in whole anchor groups, up to CHUNK bytes at a time. Of each
-   chunk a run-length index is built: the Burrows-Wheeler transform as runs, with text positions sampled at the ends of
-   runs, and the heads of the row intervals whose suffixes share LENGTH bytes. The contexts are streamed backwards through it,
-   all side by side, one LF step a byte; a position whose interval has an earlier member matches over LENGTH bytes or more.
+   context equal to an earlier one of its anchor is matched as a whole, and an anchor with one distinct context is done. Here,
+   and only here, equality is that of two 64-bit hashes (anchor and context).
+4. The first ones of the others are fetched and dealt with their bytes, in whole anchor groups, up to CHUNK bytes at a time.
+   Contexts that share neither side of the anchor with another can't share a window and are left out. Of each chunk a
+   run-length index is built: the Burrows-Wheeler transform as runs, with text positions sampled at the ends of runs, and the
+   heads of the row intervals whose suffixes share LENGTH bytes. The contexts are streamed backwards through it, all side by
+   side, one LF step a byte, which gives their matching statistics against each other, cut at LENGTH as only that counts. From
+   the last row of an interval the other occurrences are found by the sampled run ends, and all but the earliest are marked.
 5. The matched spans are gathered by document and joined to the text.
 
-So groups of copies cost little. An anchor with over HOT contexts would be too much for a task. Its contexts are merged by their 128-bit hash with partial
-aggregation first, and the distinct ones by window in the same way: exact, and without any large group. Only the count of step 2
-sees a hot anchor's rows, of 24 bytes each, in one task: a window that spills.
+So groups of copies cost little. An anchor with over HOT contexts would be too much for a task. Its contexts are merged by their bytes
+with partial aggregation first, and the windows of the distinct ones in the same way: exact, and without any large group. Only
+the count of step 2 sees a hot anchor's rows, of 24 bytes each, in one task: a window that spills.
 
 Defined results: null text is empty. Rows with a null doc_id lose nothing and are nobody's source. Rows with the same doc_id and
 the same text are one document; with different texts they are ordered by the text's hash.
@@ -26,6 +29,7 @@ the same text are one document; with different texts they are ordered by the tex
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, id_and_text, partitions, slices, table, to_arrow
+from .common import batch, cut, id_and_text, partitions, slices, table, to_arrow, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes of contexts that are indexed at a time.
@@ -43,6 +47,8 @@ HOT = 100_000
 #: Windows looked at at a time.
 STRIP = 8 << 20
 POSITION_BITS = 28
+#: Windows whose bytes are compared at a time.
+STEP = 1 << 16
 
 
 def gram_hashes(text: np.ndarray, size: int) -> np.ndarray:
@@ -97,87 +103,83 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of texts that each end in a mark of their own.
 
-    Row intervals whose suffixes share `length` bytes are kept by their heads. rows() streams every text backwards through
-    the index; locate() finds a row's text position from the sampled run ends."""
+    Row intervals whose suffixes share `length` bytes are kept by their heads. stream() takes every text backwards through the
+    index; before() goes from a row's text position to that of the row above, by the text positions sampled at run ends."""
 
     def __init__(self, texts: list[bytes], length: int = LENGTH):
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         self.ends = np.cumsum(sizes) - 1  # positions of the marks
         self.starts = self.ends - sizes + 1
-        n = int(sizes.sum())
-        data = np.zeros(n, np.int64)
+        self.n = n = int(sizes.sum())
         raw = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
-        data[: len(raw)] = raw
-        data += len(texts)
-        data[self.ends] = np.arange(len(texts))  # marks are smaller than bytes and differ
-        width = int(data.max() + 1).bit_length()
-        k = max(k for k in (1, 2, 4) if k * width < 63)
-        longest = int(sizes.max())
-        sa, rank, unique = self.ranked(self.packed(data, k, width))
-        at = {1: data, k: rank}
-        while not unique and k < longest:
-            nxt = np.zeros(n, np.int64)
-            nxt[:-k] = rank[k:] + 1
-            sa, rank, unique = self.ranked(rank * (n + 1) + nxt)
-            k *= 2
-            at[k] = rank
-        for p in (1 << i for i in range(length.bit_length()) if length >> i & 1):
-            if p not in at:  # beyond k all suffixes differ
-                at[p] = rank if p > k else self.ranked(self.packed(data, p, width))[1]
-        # rows that share `length` bytes with the row before: by the ranks of the powers of two that make up the length
-        same, done = np.ones(n - 1, bool), 0
-        for p in sorted((p for p in at if length & p), reverse=True):
-            x, y = sa[:-1] + done, sa[1:] + done
-            ok = np.maximum(x, y) < n
-            same &= ok
-            r = at[p]
-            same[ok] &= r[x[ok]] == r[y[ok]]
-            done += p
+        sa = self.suffixes(raw)
+        # rows that share `length` bytes with the row before: by hash, then by the bytes
+        left = np.repeat(self.ends, sizes) - np.arange(n)
+        code = np.zeros(n, np.uint64)
+        code[: n - length + 1] = window_hashes(raw, length)
+        x, y = sa[:-1], sa[1:]
+        maybe = np.flatnonzero((code[x] == code[y]) & (left[x] >= length) & (left[y] >= length))
+        windows = np.lib.stride_tricks.sliding_window_view(raw, length)
+        same = np.zeros(n - 1, bool)
+        for i in range(0, len(maybe), STEP):
+            part = maybe[i : i + STEP]
+            same[part] = (windows[x[part]] == windows[y[part]]).all(axis=1)
         self.heads = np.flatnonzero(np.concatenate([[True], ~same]))
-        bwt = data[sa - 1]
-        bwt[sa == 0] = len(texts) - 1
+        symbol = raw.astype(np.int64) + len(texts)
+        symbol[self.ends] = np.arange(len(texts))  # marks are smaller than bytes and differ
+        bwt = symbol[sa - 1]
         edge = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
-        self.n, self.run_start, self.run_char = n, edge, bwt[edge]
+        self.run_start, self.run_char = edge, bwt[edge]
         size = np.diff(np.append(edge, n))
         by_char = np.argsort(self.run_char, kind="stable")
-        before = np.empty(len(edge), np.int64)
-        before[by_char] = np.cumsum(size[by_char]) - size[by_char]  # rows of smaller characters, and of this one in earlier runs
-        self.run_to = before
-        self.run_end_sample = sa[edge + size - 1]
-        self.end_row = np.empty(len(texts), np.int64)
-        self.end_row[:] = np.arange(len(texts))  # the mark of text j is the j-th smallest suffix
-        self.longest = longest
-
-    @staticmethod
-    def packed(data: np.ndarray, k: int, width: int) -> np.ndarray:
-        """The k symbols at each position in one number; past the end they are zero."""
-        key = np.zeros(len(data), np.int64)
-        for j in range(k):
-            key <<= width
-            key[: len(data) - j] |= data[j:] + 1
-        return key
-
-    @staticmethod
-    def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-        """(positions in the order of their keys, rank of each position, whether all differ)."""
+        self.run_to = np.empty(len(edge), np.int64)
+        self.run_to[by_char] = np.cumsum(size[by_char]) - size[by_char]  # rows of smaller characters, and of this one in earlier runs
+        # Two rows of one run stay neighbours one byte further left. So the position above another is a constant number of bytes off
+        # until a run starts; there it is one byte before the sampled end of the last run with the same or the next smaller character.
+        end_sample = sa[edge + size - 1]
+        key, above = (sa[edge[by_char]] - 1) % n, np.append(0, (end_sample[by_char[:-1]] - 1) % n)
         order = np.argsort(key)
-        k = key[order]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = place = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
-        return order, rank, int(place[-1]) == len(key) - 1
+        self.sampled, self.above = key[order], above[order]
+
+    def suffixes(self, raw: np.ndarray) -> np.ndarray:
+        """The suffixes in order: by seven bytes, then by ranks over doubled lengths, of those that are still equal to others."""
+        n, k = self.n, 7
+        up = raw.astype(np.int64) + 1
+        up[self.ends] = 0
+        number = np.repeat(np.arange(len(self.ends)), self.ends - self.starts + 1)
+        left = self.ends[number] - np.arange(n)
+        key = np.zeros(n, np.int64)
+        for j in range(k):
+            key <<= 9
+            m = max(n - j, 0)
+            key[:m] |= np.where(left[:m] >= j, up[j:], 0)  # nothing counts beyond the mark
+        sa = np.argsort(key)
+        key = key[sa]
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        rank = np.empty(n, np.int64)
+        while True:
+            first = np.flatnonzero(head)
+            rank[sa] = np.repeat(first, np.diff(np.append(first, n)))
+            open_ = np.flatnonzero(~(head & np.append(head[1:], True)))
+            if not len(open_):
+                return sa
+            part = sa[open_]
+            # suffixes that are equal up to their marks come in the order of their texts
+            key = rank[part] * (n + 1) + np.where(left[part] >= k, rank[np.minimum(part + k, n - 1)], number[part])
+            order = np.argsort(key)
+            sa[open_], key = part[order], key[order]
+            head[open_] = np.concatenate([[True], key[1:] != key[:-1]])
+            k *= 2
 
     def back(self, row: np.ndarray) -> np.ndarray:
         """Row of the suffix that is one byte longer."""
         r = np.searchsorted(self.run_start, row, side="right") - 1
         return self.run_to[r] + row - self.run_start[r]
 
-    def interval(self, row: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.heads, row, side="right") - 1
-
-    def rows(self):
-        """Yields (texts, offsets, rows), one LF step at a time, for all texts side by side."""
-        j, size = np.arange(len(self.ends)), self.ends - self.starts
-        row, left = self.end_row.copy(), size.copy()
+    def stream(self):
+        """Yields (texts, offsets, rows), one LF step at a time, for all texts side by side. The mark of text j is row j."""
+        j, left = np.arange(len(self.ends)), self.ends - self.starts
+        row = j.copy()
         while True:
             go = left > 0
             if not go.any():
@@ -185,34 +187,48 @@ class RunLengthIndex:
             j, row, left = j[go], self.back(row[go]), left[go] - 1
             yield j, left, row
 
-    def locate(self, row: np.ndarray) -> np.ndarray:
-        """Text positions of rows: LF steps to the next sampled run end."""
-        row, out = np.array(row, np.int64), np.full(len(row), -1, np.int64)
-        run_end = np.append(self.run_start[1:], self.n) - 1
-        for step in range(self.n + 1):
-            todo = np.flatnonzero(out < 0)
-            if not len(todo):
-                break
-            r = np.searchsorted(self.run_start, row[todo], side="right") - 1
-            hit = run_end[r] == row[todo]
-            out[todo[hit]] = (self.run_end_sample[r[hit]] + step) % self.n
-            row[todo] = self.run_to[r] + row[todo] - self.run_start[r]
-        return out
+    def before(self, position: np.ndarray) -> np.ndarray:
+        """The text positions of the rows above those of the given positions (but the first row)."""
+        k = np.searchsorted(self.sampled, position)
+        return self.above[k] - (self.sampled[k] - position)
+
+
+def window_hashes(raw: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each `length` bytes, put together from those of powers of two."""
+    h, done = np.zeros(len(raw) - length + 1, np.uint64), 0
+    for p in (1 << i for i in range(length.bit_length()) if length >> i & 1):
+        h = (h ^ gram_hashes(raw, p)[done : done + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        done += p
+    return h
 
 
 def matched(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(text, offset) of all windows that also start earlier in these texts, in the order of texts and offsets."""
+    if max(map(len, texts), default=0) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     index = RunLengthIndex(texts, length)
-    whole = np.array([len(t) - length + 1 for t in texts], np.int64)
-    got = [(j[ok], off[ok], index.interval(row[ok])) for j, off, row in index.rows() if (ok := off < whole[j]).any()]
-    if not got:
+    last = np.append(index.heads[1:], index.n) - 1
+    size = last - index.heads + 1
+    ends = np.zeros(index.n, bool)
+    ends[last[size > 1]] = True
+    found = [(row[ok], index.starts[j[ok]] + off[ok]) for j, off, row in index.stream() if (ok := ends[row]).any()]
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    j, off, at = (np.concatenate([g[i] for g in got]) for i in range(3))
-    place = j * index.longest + off
-    first = np.full(len(index.heads), np.iinfo(np.int64).max)
-    np.minimum.at(first, at, place)
-    late = first[at] < place
-    return j[late], off[late]
+    row, place = (np.concatenate([f[i] for f in found]) for i in range(2))
+    more = size[np.searchsorted(index.heads, row, side="right") - 1] - 1
+    interval, first, places = np.arange(len(row)), place.copy(), [(np.arange(len(row)), place)]
+    while True:  # the other occurrences, one row up at a time, of all intervals side by side
+        go = more > 0
+        if not go.any():
+            break
+        interval, place, more = interval[go], index.before(place[go]), more[go] - 1
+        first[interval] = np.minimum(first[interval], place)
+        places.append((interval, place))
+    interval, place = (np.concatenate([x[i] for x in places]) for i in range(2))
+    late = np.sort(place[first[interval] < place])
+    j = np.searchsorted(index.starts, late, side="right") - 1
+    return j, late - index.starts[j]
 
 
 def spans(j: np.ndarray, off: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
@@ -226,29 +242,22 @@ def spans(j: np.ndarray, off: np.ndarray, length: int = LENGTH) -> list[tuple[in
     return list(zip(j[head].tolist(), off[head].tolist(), (off[last] + length).tolist(), strict=True))
 
 
+def sharing(group: list[tuple], length: int = LENGTH, gram: int = GRAM) -> list[tuple]:
+    """The contexts that share at least one side of the anchor with another: of a window's bytes beside the anchor, half or more lie
+    on one side, so contexts that share a window share that many there. A context is (doc_id, tkey, start, anchor, bytes)."""
+    half = (length - gram + 1) // 2
+    sides = [(c[max(a - half, 0) : a + gram] if a >= half else None, c[a : a + gram + half] if a + gram + half <= len(c) else None) for *_, a, c in group]
+    left, right = Counter(x for x, _ in sides if x), Counter(y for _, y in sides if y)
+    return [g for g, (x, y) in zip(group, sides, strict=True) if x and left[x] > 1 or y and right[y] > 1]
+
+
 def marks_of(groups: list[list[tuple]], length: int = LENGTH) -> list[tuple]:
-    """(doc_id, tkey, start, end) of the matched spans of whole anchor groups; a context is (doc_id, tkey, start, bytes),
+    """(doc_id, tkey, start, end) of the matched spans of whole anchor groups; a context is (doc_id, tkey, start, anchor, bytes),
     in the order of the corpus."""
-    out, texts, owner = [], [], []
-    for group in groups:
-        seen = set()
-        for doc, key, start, ctx in group:
-            if ctx in seen:
-                out.append((doc, key, start, start + len(ctx)))
-            else:
-                seen.add(ctx)
-                own = (doc, key, start, len(texts)) if len(group) > 1 else None
-                if own:
-                    owner.append(own)
-                    texts.append(ctx)
-        if len(seen) == 1 and texts and owner and owner[-1][:3] == group[0][:3]:  # all equal: nothing left to compare
-            texts.pop()
-            owner.pop()
-    if texts:
-        for j, a, b in spans(*matched(texts, length), length):
-            doc, key, start, _ = owner[j]
-            out.append((doc, key, start + a, start + b))
-    return out
+    owner = [c for group in groups for c in sharing(group, length)]
+    if not owner:
+        return []
+    return [(*owner[j][:2], owner[j][2] + a, owner[j][2] + b) for j, a, b in spans(*matched([c[4] for c in owner], length), length)]
 
 
 #: Stands for a null doc_id inside this module: keys that can't be null keep the two joins' shuffles of the text alike.
@@ -266,7 +275,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
 ANCHORS = "ahash long, doc_id long, tkey long, place long"
 MARKS = "doc_id long, tkey long, a int, b int"
-CONTEXTS = "ahash long, doc_id long, tkey long, start int, ctx binary"
+CONTEXTS = "ahash long, doc_id long, tkey long, start int, anchor int, ctx binary"
 HASHES = "ahash long, chash long, doc_id long, tkey long, place long"
 FIRSTS = "doc_id long, tkey long, place long, matched boolean"
 
@@ -315,6 +324,7 @@ def context_rows(docs: DataFrame, lists: DataFrame, keys: list[str], hashes: boo
                     out["place"] += places
                 else:
                     out["start"] += [s for s, _, _ in at]
+                    out["anchor"] += [g - s for s, _, g in at]
                     out["ctx"] += ctx
             yield batch(out, arrow)
 
@@ -369,7 +379,7 @@ def index_marks(contexts: DataFrame) -> DataFrame:
                 if h != last:
                     if len(group) > 1:
                         groups.append(group)
-                        held += sum(len(c[3]) for c in {g[3]: g for g in group}.values())
+                        held += sum(len(c[4]) for c in group)
                     group, last = [], h
                     if held >= CHUNK:
                         yield marks()
@@ -386,18 +396,16 @@ def index_marks(contexts: DataFrame) -> DataFrame:
 
 
 def hot_marks(contexts: DataFrame) -> DataFrame:
-    """The matched spans of contexts of hot anchors, by hashes of contexts and then of windows, partially aggregated."""
+    """The matched spans of contexts of hot anchors: equal contexts, and then equal windows of the distinct ones, are merged by their
+    bytes with partial aggregation."""
     place = F.struct("doc_id", "tkey", "start")
-    by = contexts.select("doc_id", "tkey", "start", F.octet_length("ctx").alias("n"), F.xxhash64("ctx").alias("c1"), F.xxhash64(F.lit(7), F.col("ctx"), F.lit(1)).alias("c2"), "ctx")
-    first = by.groupBy("c1", "c2", "n").agg(F.min(place).alias("first"))
-    both = by.join(first, ["c1", "c2", "n"])
-    late = both.where(place > F.col("first")).select("doc_id", "tkey", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
-    windows = both.where(place == F.col("first")).select("doc_id", "tkey", "start", "ctx", F.explode(F.sequence(F.lit(0), F.col("n") - LENGTH)).alias("o"))
-    w = F.expr(f"substring(ctx, o + 1, {LENGTH})")
-    keys = windows.select("doc_id", "tkey", (F.col("start") + F.col("o")).alias("start"), F.xxhash64(w).alias("c1"), F.xxhash64(F.lit(7), w, F.lit(1)).alias("c2"))
-    earliest = keys.groupBy("c1", "c2").agg(F.min(place).alias("first"))
-    single = keys.join(earliest, ["c1", "c2"]).where(place > F.col("first")).select("doc_id", "tkey", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b"))
-    return late.unionByName(single)
+    contexts = written(contexts, "contexts")
+    distinct = cut(contexts.groupBy("ctx").agg(F.min(place).alias("first")))
+    late = contexts.join(distinct, "ctx").where(place > F.col("first")).select("doc_id", "tkey", F.col("start").alias("a"), (F.col("start") + F.octet_length("ctx")).alias("b"))
+    offsets = F.explode(F.sequence(F.lit(0), F.octet_length("ctx") - LENGTH)).alias("o")
+    windows = distinct.select("first.*", "ctx", offsets).select("doc_id", "tkey", (F.col("start") + F.col("o")).alias("start"), F.expr(f"substring(ctx, o + 1, {LENGTH})").alias("w"))
+    single = windows.join(windows.groupBy("w").agg(F.min(place).alias("first")), "w").where(place > F.col("first"))
+    return late.unionByName(single.select("doc_id", "tkey", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
 
 
 def repeated_spans(docs: DataFrame, keys: list[str]) -> DataFrame:

@@ -41,7 +41,8 @@ MAGIC, HEAD = b"TLB1", "<4sIQQQ"
 BLOCK = 4096
 #: A segment is closed when it holds this many ids.
 SEGMENT = 1 << 20
-REMEMBERED = 500_000
+#: Places for words, and as many for pieces, that a worker remembers.
+REMEMBERED = 900_000
 
 
 def width_of(vocabulary: int) -> int:
