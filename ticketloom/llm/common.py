@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        b = None
+        pa.default_memory_pool().release_unused()  # a worker outlives its task, and must not keep the batches' memory
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of few rows for the jobs that run inside; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(min(rows, int(own)) if int(own) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,14 +62,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cheaper to read often than a checkpoint. The folder may go when the
     result has been read."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    with small_batches(df.sparkSession):
+        df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Eager checkpoint in the shared folder: survives lost executors and cuts the lineage."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def partitions(spark: SparkSession) -> int:

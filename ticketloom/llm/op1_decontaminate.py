@@ -30,7 +30,7 @@ from .common import MIN_SIMILARITY, SHINGLE_WORDS, WORD_BYTES, batch, id_and_tex
 #: Shingles of the items that a task holds at a time.
 BLOCK = 2_000_000
 #: Words whose hashes a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 FILTER_BITS = 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
