@@ -1,0 +1,112 @@
+"""A failing deal for each check with its mended twin, and a fill for each derivation."""
+
+from datetime import date
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ticketloom import model
+from ticketloom.functions import values as V
+from ticketloom.operators import derive, validate
+from ticketloom.plans.parse import META
+
+FRIDAY, SATURDAY, MONDAY = date(2026, 9, 25), date(2026, 9, 26), date(2026, 9, 28)
+#: code, a deal that fails, and what mends it
+CASES = [
+    ("ISIN_FORMAT", dict(isin="IN00"), dict(isin="IN0020240A75")),
+    ("ISIN_CHECK_DIGIT", dict(isin="IN0020240A76"), dict(isin="IN0020240A75")),
+    ("SETTLEMENT_BEFORE_TRADE", dict(trade_date=MONDAY, settlement_date=FRIDAY), dict(trade_date=FRIDAY)),
+    ("MATURITY_NOT_AFTER_SETTLEMENT", dict(maturity_date=FRIDAY, settlement_date=FRIDAY), dict(maturity_date=MONDAY)),
+    ("WEEKEND_SETTLEMENT", dict(settlement_date=SATURDAY), dict(settlement_date=MONDAY)),
+    ("WEEKEND_SETTLEMENT", dict(deal_type="REPO", repo__leg2_date=SATURDAY), dict(repo__leg2_date=MONDAY)),
+    ("PRINCIPAL_MISMATCH", dict(face_value=1000, price=101, principal_amount=1000), dict(principal_amount=1010)),
+    ("CONSIDERATION_MISMATCH", dict(deal_type="OUTRIGHT", principal_amount=100, accrued_interest=2, consideration=100), dict(consideration=102)),
+    ("ACCRUED_DAYS_MISMATCH", dict(day_count="30/360", last_coupon_date=date(2026, 4, 8), settlement_date=FRIDAY, accrued_days=100), dict(accrued_days=167)),
+    ("ACCRUED_MISMATCH", dict(day_count="30/360", face_value=50_000_000, coupon_rate="7.10", accrued_days=167, accrued_interest=1), dict(accrued_interest="1646805.56")),
+    ("DISCOUNT_MISMATCH", dict(instrument_type="TBILL", face_value=100, consideration=90, discount_amount=5), dict(discount_amount=10)),
+    ("DISCOUNT_PRICE_MISMATCH", dict(instrument_type="TBILL", face_value=10_000, price=97, consideration=9000), dict(consideration=9700)),
+    ("QUANTITY_MISMATCH", dict(face_value_per_unit=10, quantity=5, face_value=100), dict(quantity=10)),
+    ("REPO_LEG_AMOUNT_MISMATCH", dict(deal_type="REPO", face_value=100, repo__leg1_price=99, repo__leg1_amount=50), dict(repo__leg1_amount=99)),
+    ("REPO_INTEREST_MISMATCH", dict(deal_type="REPO", repo__leg1_amount=100, repo__leg2_amount=200, repo__repo_interest=5), dict(repo__leg2_amount=105)),
+    ("REPO_DAYS_MISMATCH", dict(deal_type="REPO", repo__leg1_date=FRIDAY, repo__leg2_date=MONDAY, repo__repo_days=4), dict(repo__repo_days=3)),
+    ("REPO_INTEREST_CALC", dict(deal_type="REPO", repo__leg1_amount=1_000_000, repo__repo_rate="5.40", repo__repo_days=3, repo__repo_interest=1), dict(repo__repo_interest="443.84")),
+]
+WIDE = T.StructType([T.StructField(f.column, model.SPARK_TYPES[f.type]) for f in model.FIELDS.values()])
+
+
+def row(deal: dict) -> tuple:
+    """A wide deal as a row of WIDE."""
+    kinds = {f.column: f.type for f in model.FIELDS.values()}
+    return tuple(Decimal(str(deal[c])) if c in deal and kinds[c] == "decimal" else deal.get(c) for c in WIDE.names)
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    deals = [(f"{k}{how}", *row(deal)) for k, (_, bad, good) in enumerate(CASES) for how, deal in (("bad", bad), ("good", bad | good))]
+    schema = T.StructType([T.StructField("case", T.StringType()), *WIDE.fields])
+    checked = validate.validate(validate.wide(spark.createDataFrame(deals, schema)))
+    return {r["case"]: [i["code"] for i in r["issues"]] for r in checked.select("case", "issues").collect()}
+
+
+@pytest.mark.parametrize("k", range(len(CASES)))
+def test_check(found, k):
+    code = CASES[k][0]
+    assert code in found[f"{k}bad"] and code not in found[f"{k}good"]
+
+
+#: deal, printed values by path, text, labels -> filled fields
+FILLS = [
+    ({}, {}, "A reverse repo of bonds", "", dict(deal_type="REVERSE_REPO", buy_sell="BUY", currency="INR")),
+    (dict(deal_type="OUTRIGHT"), {"deal_type": "Our buy from: Alpha Bank"}, "", "", dict(buy_sell="BUY", counterparty="Alpha Bank")),
+    (dict(deal_type="OUTRIGHT", buy_sell="BUY", _seller_amount=100, _buyer_amount=101, _seller_pan="ABCPD1234E", _seller_name="Beta"), {}, "", "", dict(consideration=101, principal_amount=100, stamp_duty=1, counterparty_pan="ABCPD1234E", counterparty="Beta")),
+    (dict(security_name="7.10% GS 2034"), {}, "", "", dict(instrument_type="GSEC", coupon_rate="7.10", coupon_frequency=2)),
+    (dict(isin="INE002A08427"), {}, "", "", {"instrument_type": "CORPORATE_BOND", "identifiers__isin": "INE002A08427"}),
+    (dict(deal_type="OUTRIGHT"), {"deal_type": "Outright on NDS-OM"}, "", "", dict(platform="NDS-OM")),
+    (dict(security_name="Alpha MLD 2030"), {}, "", "", dict(is_market_linked=True)),
+    ({}, {}, "dealt on NSE RFQ and settled DVP 3", "", dict(platform="NSE RFQ", settlement_mode="DVP-III")),
+    (dict(coupon_rate="7"), {"coupon_rate": "7% quarterly"}, "", "", dict(coupon_frequency=4)),
+    (dict(accrued_days=167), {"accrued_days": "167 (30/360)"}, "", "", dict(day_count="30/360")),
+    (dict(security_name="182 DTB 15012027"), {}, "", "", dict(instrument_type="TBILL", tenor_days=182, maturity_date=date(2027, 1, 15))),
+    (dict(instrument_type="TBILL", maturity_date=date(2026, 12, 25), settlement_date=FRIDAY), {}, "", "", dict(tenor_days=91)),
+    (dict(instrument_type="TBILL", tenor_days=182, **{"yield": "6.5"}), {}, "", "", dict(price="96.8523")),
+    (dict(instrument_type="CP", accrued_days=10), {}, "", "", dict(day_count="ACT/365")),
+    (dict(deal_type="PRIMARY_AUCTION", platform="RBI E-Kuber"), {}, "", "", dict(counterparty="Reserve Bank of India")),
+    (dict(deal_type="REPO", repo__leg1_date=FRIDAY, repo__leg2_date=MONDAY, repo__leg1_amount=100, repo__leg2_amount=103, repo__leg1_price=99), {}, "", "", dict(repo__repo_days=3, repo__repo_interest=3, settlement_date=FRIDAY, trade_date=FRIDAY, consideration=100, price=99, buy_sell="SELL")),
+    (dict(face_value_per_unit=1000, quantity=7), {}, "", "", dict(face_value=7000)),
+    (dict(face_value_per_unit=1000, face_value=7000), {}, "", "", dict(quantity=7)),
+    ({}, {}, "", "Amount (USD) Price (Rs.)", dict(currency="INR")),
+]
+
+
+@pytest.fixture(scope="module")
+def filled(spark):
+    rows = [(k, *row(deal), {p: (v, "synonym", 0.95, p, None) for p, v in raw.items()}, text, labels, "IN") for k, (deal, raw, text, labels, _) in enumerate(FILLS)]
+    schema = T.StructType([T.StructField("k", T.IntegerType()), *(f for f in WIDE.fields if f.name != "market")])
+    deals = [r[: 1 + WIDE.names.index("market")] + r[2 + WIDE.names.index("market") : 1 + len(WIDE.names)] for r in rows]
+    more = spark.createDataFrame([(r[0], *r[1 + len(WIDE.names) :]) for r in rows], f"k int, meta map<string,{META}>, text string, labels string, market string")
+    return {r["k"]: r for r in derive.derive(spark.createDataFrame(deals, schema).join(more, "k")).collect()}
+
+
+@pytest.mark.parametrize("k", range(len(FILLS)))
+def test_fill(filled, k):
+    got, (deal, *_, want) = filled[k], FILLS[k]
+    for column, value in want.items():
+        value = Decimal(value) if isinstance(got[column], Decimal) else value
+        assert got[column] == value, column
+        path = next(f.path for f in model.FIELDS.values() if f.column == column)
+        assert path in got["filled"] or column in deal, column
+
+
+def test_long_amounts(spark):
+    """Nothing is rounded or refused that the decimal holds, and what it doesn't hold is an error."""
+    cases = {
+        "1.123456789019": Decimal("1.123456789019"), "123456789012345678.00": Decimal("123456789012345678"), "99999999999999999999.123456789012": Decimal("99999999999999999999.123456789012"),
+        "(12,34,567.5)": Decimal("-1234567.5"), "1.23456789012345 Cr": Decimal("12345678.9012345"), ".5 lakh": Decimal("50000"), "1.123456789012345": None, "1234567890123456789012345": None, "1,2,3": None,
+    }
+    df = spark.createDataFrame([(x,) for x in cases], "x string")
+    got = df.select("x", V.parse_amount("x", None, V.map_of({"cr": 10_000_000, "lakh": 100_000})).alias("r")).collect()
+    assert {r.x: r.r.value for r in got} == cases and all((r.r.error is None) == (r.r.value is not None) for r in got)
+    rates = df.limit(1).select(V.parse_rate(F.lit("6.12345678901234% p.a.")).alias("a"), V.parse_rate(F.lit("6.123456789012345%")).alias("b")).first()
+    assert rates.a.value == Decimal("6.12345678901234") and rates.a.places == 14 and rates.b.error == "VALUE_UNPARSEABLE"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "ticketloom", **conf: str) -> SparkSession:
@@ -14,3 +16,15 @@ def session(app: str = "ticketloom", **conf: str) -> SparkSession:
         "spark.sql.ansi.enabled": "true",
     }
     return SparkSession.builder.appName(app).config(map=base | conf).getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Eager checkpoint in the folder that spark.checkpoint.dir names: it survives lost executors, and what comes after is planned
+    on its own. Where none is named, one is made in local mode only: there the driver is the one executor."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ticketloom-"))
+    return df.checkpoint(eager=True)
