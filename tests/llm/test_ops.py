@@ -315,3 +315,8 @@ def test_quality_keeps_good_documents(spark):
     good = [r for r in rows if r["quality"] == 1 and not r["base_failed"]]
     bad = [r for r in rows if r["quality"] == 0]
     assert sum(r["kept"] for r in good) >= 0.97 * len(good) and sum(r["kept"] for r in bad) <= 0.5 * len(bad)
+
+
+def test_no_letter_is_no_language():
+    model = (("en", b"the words of a language " * 40), ("de", b"die worte einer sprache " * 40))
+    assert [op8.predict(t, model)[0] for t in ("", "12 ½ ² ①", "_ 3.5 !")] == ["und"] * 3 and op8.predict("½ the words of a language", model)[0] == "en"

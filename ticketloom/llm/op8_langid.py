@@ -86,7 +86,7 @@ def compressors(model: tuple[tuple[str, bytes], ...]) -> list[tuple]:
 def predict(text: str, model: tuple) -> tuple[str, float, float]:
     """(language or und, score 0..1, margin)."""
     clean = letters(text)
-    if not model or not clean:
+    if not model or not any(map(str.isalpha, clean.decode())):  # LETTERS also takes fractions and circled numbers
         return "und", 0.0, 0.0
     if len(clean) < SHORT:
         sizes = [max(1, sum(len(c.compress(x + clean)) for x in bases) - size) for _, c, bases, size in compressors(model)]
