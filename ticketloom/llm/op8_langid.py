@@ -1,14 +1,17 @@
 """Language identification by compression.
 
 For each language a raw-content zstandard dictionary is made of a bounded sample of labelled texts. A text is cut into chunks
-(the whole text, so that a long one can't outgrow the dictionary by its own history), each chunk is compressed with each
-language's dictionary, and the language with the smallest sum wins; ties go to the language with more labelled rows. The
-margin of the second language over the first gives the score, and narrow margins are rejected.
+(the whole text, so that a long one can't outgrow the dictionary by its own history). Each chunk is compressed with each
+language's dictionary, after a base of the language that isn't in the dictionary and whose own size is taken off: sizes are whole
+bytes, and a chunk of a few words says little by itself. The language with the smallest sum wins; ties go to the language with
+more labelled rows. The margin of the second language over the first gives the score, and narrow margins are rejected.
 
 Learning uses text and lang of rows outside the held-out fold only: up to SAMPLE_DOCS texts a language, those with the least
-hash of their id, and EXCERPT characters of each. That is the only bound; predictions read every text whole.
+hash of their id, and EXCERPT characters of each; all of it is in the dictionary or the base. That is the only bound; predictions
+read every text whole, long and short ones in one way.
 
-Defined results: null text or text without a letter is `und` with score 0; without any labelled row every prediction is `und`.
+Defined results: null text or text without a letter is `und` with score 0; without any labelled row every prediction is `und`;
+rows of one id, or without one, are judged each on their own; columns besides doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -23,12 +26,10 @@ from pyspark.sql import functions as F
 from .common import keep_texts, map_texts, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Bounds of the training sample: texts for each language, characters of each text, bytes of a dictionary.
-SAMPLE_DOCS, EXCERPT, DICTIONARY = 96, 2000, 96 << 10
-CHUNK, LEVEL = 2048, 6
-#: Texts below this many bytes gain nothing from compression alone. They are compressed after BASE bytes of the language, whose
-#: size is taken off, and this with BASES such texts, as single sizes are whole bytes.
-SHORT, BASE, BASES = 400, 2048, 4
+#: Bounds of the training sample: texts for each language, characters of each text.
+SAMPLE_DOCS, EXCERPT = 96, 2000
+#: Bytes of a chunk and of a base, level of compression.
+CHUNK, BASE, LEVEL = 2048, 512, 6
 #: Least margin (second size over first, less one) of an accepted prediction.
 MARGIN = 0.005
 
@@ -62,24 +63,20 @@ def letters(text: str) -> bytes:
 
 def dictionaries(docs: DataFrame) -> tuple[tuple[str, bytes], ...]:
     # the end of a dictionary is the cheapest to refer to; order is that of the sample
-    return tuple((k, letters("\n".join(dict.fromkeys(t)))[-DICTIONARY:]) for k, t in sample(docs))
+    return tuple((k, letters("\n".join(dict.fromkeys(t)))) for k, t in sample(docs))
 
 
 @lru_cache(1)
 def compressors(model: tuple[tuple[str, bytes], ...]) -> list[tuple]:
-    """For each language: compressor for texts, compressor for short texts after a base, the bases, their size together."""
+    """For each language: compressor, base, size of the compressed base."""
     out = []
     for _, raw in model:
-        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        n = min(BASE, len(raw) // 2)
+        d = zstandard.ZstdCompressionDict(raw[n:].ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=LEVEL)
         c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False)
-        # a base must not be a copy of what the dictionary holds, or nothing is learned from it
-        n = BASE if len(raw) > 2 * BASE * BASES else len(raw) // (2 * BASES)
-        rest = zstandard.ZstdCompressionDict(raw[n * BASES :].ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        rest.precompute_compress(level=LEVEL)
-        c2 = zstandard.ZstdCompressor(level=LEVEL, dict_data=rest, write_content_size=False, write_dict_id=False, write_checksum=False)
-        bases = [raw[i * n : (i + 1) * n] + b" " for i in range(BASES)]
-        out.append((c, c2, bases, sum(len(c2.compress(x)) for x in bases)))
+        base = raw[:n] + b" "
+        out.append((c, base, len(c.compress(base))))
     return out
 
 
@@ -88,11 +85,8 @@ def predict(text: str, model: tuple) -> tuple[str, float, float]:
     clean = letters(text)
     if not model or not any(map(str.isalpha, clean.decode())):  # LETTERS also takes fractions and circled numbers
         return "und", 0.0, 0.0
-    if len(clean) < SHORT:
-        sizes = [max(1, sum(len(c.compress(x + clean)) for x in bases) - size) for _, c, bases, size in compressors(model)]
-    else:
-        parts = [clean[i : i + CHUNK] for i in range(0, len(clean), CHUNK)]
-        sizes = [sum(map(len, map(c.compress, parts))) for c, *_ in compressors(model)]
+    parts = [clean[i : i + CHUNK] for i in range(0, len(clean), CHUNK)]
+    sizes = [max(1, sum(len(c.compress(base + x)) - size for x in parts)) for c, base, size in compressors(model)]
     best = min(range(len(sizes)), key=sizes.__getitem__)
     rest = sizes[:best] + sizes[best + 1 :]
     margin = min(rest) / sizes[best] - 1 if rest else 1.0
