@@ -1,9 +1,11 @@
 """URL filters: rules first, and for the other URLs logistic regression on hashed character n-grams of host and path.
 
 The model is trained on the driver from a small labelled table (url, blocked): the one below, or a DataFrame of which at
-most MAX_LABELLED rows are taken (the documented bound). Weights are a fixed-size vector, whatever the input.
+most MAX_LABELLED rows are taken, those with the least hash of the URL (the documented bound). Weights are a fixed-size vector,
+whatever the input.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path, no rule, and is allowed.
+Defined results: a null URL, or one without ``://``, has an empty host and path, no rule, and is allowed; a probability of exactly
+one half blocks; rows of one page_id, or without one, are judged each on their own; only page_id and url are read.
 """
 
 from __future__ import annotations
@@ -39,12 +41,16 @@ http://blog.gardening.example.org/post/7 https://recipes.example.net/soup/41 htt
 https://wiki.example.net/article/river http://history.example.com/en/1848 https://science-journal.example.org/volume/3/paper/9 https://school.example.net/maths/lesson-2
 http://m.newspaper.example.com/fr/3321 https://www.bookshop.example.org/title/202 https://forum.example.net/thread/5501 http://travel-notes.example.com/es/lisbon
 https://open-source.example.org/project/readme http://hospital.example.net/contact https://radio.example.com/programme/17 http://www.village.example.org/de/events
-https://mathematics.example.net/en/theorem/6 http://thethan.example.com/en/670 https://www.therin.example.org/fr/34 http://blog.onthe.example.net/es/52.html
-https://m.tionther.example.com/de/8 http://anderth.example.org/en/88/ https://nation-theatre.example.net/en/720?page=2 http://m.inthere.example.com/es/9#top
-https://www.letters.example.com/en/41 http://harbour.example.org/fr/77.html https://m.orchard.example.net/de/118?page=2 http://thatnt.example.com/es/204
-https://blog.thenst.example.org/en/13/ http://www.thathe.example.net/fr/305 https://thoutnd.example.com/de/466#top http://m.theswh.example.org/es/512
+https://mathematics.example.net/en/theorem/6 http://geology.example.com/en/670 https://www.botany.example.org/fr/34 http://blog.railway.example.net/es/52.html
+https://m.poetry.example.com/de/8 http://carpentry.example.org/en/88/ https://nation-theatre.example.net/en/720?page=2 http://m.astronomy.example.com/es/9#top
+https://www.letters.example.com/en/41 http://harbour.example.org/fr/77.html https://m.orchard.example.net/de/118?page=2 http://violin-makers.example.com/es/204
+https://blog.chemistry.example.org/en/13/ http://www.cathedral.example.net/fr/305 https://football-club.example.com/de/466#top http://m.island-ferry.example.org/es/512
 https://lantern.example.net/en/630?utm_source=feed http://blog.meadow.example.com/fr/71 https://www.painting.example.org/de/845.html http://stones.example.net/es/95
-https://thntth.example.org/en/252 http://thentand.example.net/fr/147/ https://blog.erthand.example.com/de/388 http://www.thonedth.example.org/es/24
+https://kitchen-garden.example.org/en/252 http://bakery.example.net/fr/147/ https://blog.lighthouse.example.com/de/388 http://www.beekeepers.example.org/es/24
+https://wiki.example.org/article/casino_(film) http://film-archive.example.com/review/poker-scenes https://web-basics.example.net/seo/introduction http://pharmacy-school.example.org/en/210
+https://thatched-roofs.example.com/fr/4120 http://the-other-shore.example.net/es/961?page=2 https://anthem.example.org/de/7702#top http://www.another-day.example.com/es/318.html
+https://health-and-hearth.example.net/en/1290 http://m.northern-lights.example.org/es/2044?page=2 https://tent-hire.example.com/fr/58?utm_source=feed http://earth-sciences.example.net/de/3019
+https://hospital.example.com/leaflets/pills http://statistics.example.org/adult-education/11 https://security.example.net/advice/phishing http://news.example.com/torrent-of-rain
 """
 
 
@@ -115,7 +121,7 @@ def judged(pages: DataFrame, key: str = "page_id", labelled: DataFrame | None =
     if labelled is None:
         w = built_in()
     else:
-        rows = labelled.select("url", F.col("blocked").cast("int").alias("y")).where("url is not null and blocked is not null").limit(MAX_LABELLED).collect()
+        rows = labelled.select("url", F.col("blocked").cast("int").alias("y")).where("url is not null and blocked is not null").orderBy(F.xxhash64("url"), "url", "y").limit(MAX_LABELLED).collect()
         w = fit([(r["url"], r["y"]) for r in rows])
     host, path = parts(F.col("url").cast("string"))
     cut = pages.select(F.col(key).cast("long").alias(key), host.alias("host"), path.alias("path"))
