@@ -99,7 +99,7 @@ def plain_language(rows, train):
             counts[k] += 1
             if t:
                 found[k].append((xxhash.xxh64_intdigest(struct.pack("<q", d), 42) % (1 << 30), d, t[: op8.EXCERPT]))
-    raw = [(k, words("\n".join(dict.fromkeys(x[2] for x in sorted(found[k])[: op8.SAMPLE_DOCS])))) for k in sorted(counts, key=lambda k: (-counts[k], k)) if found[k]]
+    raw = [(k, words("\n".join(dict.fromkeys(x[2] for x in sorted(found[k])[: op8.SAMPLE_DOCS])))[-op8.DICTIONARY :]) for k in sorted(counts, key=lambda k: (-counts[k], k)) if found[k]]
 
     def size(text, dictionary):
         d = zstandard.ZstdCompressionDict(dictionary.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -114,10 +114,12 @@ def plain_language(rows, train):
             continue
         sizes = []
         for k, x in raw:
-            n = min(op8.BASE, len(x) // 2)
-            base, rest, total = x[:n] + b" ", x[n:], 0
-            for i in range(0, len(text), op8.CHUNK):
-                total += size(base + text[i : i + op8.CHUNK], rest) - size(base, rest)
+            if len(text) < op8.SHORT:
+                n = op8.BASE if len(x) > 2 * op8.BASE * op8.BASES else len(x) // (2 * op8.BASES)
+                rest, bases = x[n * op8.BASES :], [x[j * n : (j + 1) * n] + b" " for j in range(op8.BASES)]
+                total = sum(size(base + text, rest) - size(base, rest) for base in bases)
+            else:
+                total = sum(size(text[i : i + op8.CHUNK], x) for i in range(0, len(text), op8.CHUNK))
             sizes.append((max(1, total), len(sizes), k))
         best, *others = sorted(sizes)
         out.append((d, best[2], not others or others[0][0] / best[0] - 1 >= op8.MARGIN))
