@@ -17,6 +17,7 @@ QUERIES = {
     "op8_language_id": ("op8_langid", None),
     "op9_token_bin": ("op9_tokenbin", None),
     "op10_quality_rules": ("op10_quality", None),
+    "op11_resample": ("op11_resample", None),
 }
 
 
