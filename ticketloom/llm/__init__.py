@@ -18,6 +18,7 @@ QUERIES = {
     "op9_token_bin": ("op9_tokenbin", None),
     "op10_quality_rules": ("op10_quality", None),
     "op11_resample": ("op11_resample", None),
+    "op12_minhash_dedup": ("op12_minhash", "OP12_SQL"),
     "op13_search": ("op13_search", "OP13_SQL"),
 }
 
