@@ -34,7 +34,7 @@ TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 BREAK = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 TOP = 50
 #: Tokens of a shard and bytes of its vocabulary, from which it is closed; bytes of a text cut at a time; terms of a block of items.
-SHARD, VOCABULARY, PART, BLOCK = 1_500_000, 32 << 20, 1 << 20, 200_000
+SHARD, VOCABULARY, PART, BLOCK = 1_000_000, 32 << 20, 1 << 20, 200_000
 _bytes = np.arange(256)
 IS_TERM = np.array([bool(TERM.fullmatch(bytes([b]))) for b in _bytes])
 
