@@ -28,7 +28,7 @@ def test_link_streams(spark):
     last = audit.GENESIS
     for seq in sorted(rows):
         assert rows[seq].prev_hash == last
-        last = hashlib.sha256((last + json.dumps({"action": "x", "actor_id": "one", "seq": seq}, separators=(",", ":"))).encode()).hexdigest()
+        last = hashlib.sha256(json.dumps({"action": "x", "actor_id": "one", "prev_hash": last, "seq": seq}, separators=(",", ":")).encode()).hexdigest()
         assert rows[seq].row_hash == last
 
 

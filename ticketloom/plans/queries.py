@@ -6,13 +6,17 @@ back, so the SQL beside a query never sees the printed strings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model, rules
+from ..functions import canonical
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import audit, export, mapping, market, metrics, templates, validate
+from ..operators import append, audit, export, mapping, market, metrics, templates, validate
+from ..session import shared_dir
 from ..streaming.limiter import limit
 from .parse import parse
 
@@ -271,6 +275,46 @@ def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.verify(tampered, "actor_id", columns).select("actor_id", "checked", "first_bad_seq", "reason")
 
 
+@query("""
+SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, event_id, CAST(user_id AS VARCHAR) AS actor_id, true AS chained FROM events
+""")
+def audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in three appends by time, the second sent twice."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    log = log_events(spark, sf_dir).withColumnRenamed("seq", "event_id").join(table(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
+    low, high = log.agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))), F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()
+    third = F.floor(F.lit(3) * (F.unix_seconds(F.col("ts").cast("timestamp")) - low) / (high - low + 1))
+    columns = ["event_id", "occurred_at", "actor_id", "action"]
+    for batch in (0, 1, 1, 2):
+        append.append(log.where(third == batch), path, batch, [F.col("ts"), F.col("event_id")], "actor_id", columns)
+    kept = append.read(spark, path)
+    bad = audit.verify(kept, "actor_id", [*columns, "seq"]).where("reason is not null").select("actor_id", "first_bad_seq")
+    return kept.join(bad, "actor_id", "left").select("seq", "event_id", "actor_id", F.col("first_bad_seq").isNull().alias("chained"))
+
+
+@query("""
+SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS actor_id, (SELECT count(*) FROM events WHERE event_type = 'click') AS total FROM events WHERE event_type = 'click' ORDER BY seq DESC LIMIT 100 OFFSET 20
+""")
+def audit_page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the log and the count of all that match, from one scan."""
+    rows, total = audit.page_with_total(audit.search(log_events(spark, sf_dir), action="click").select("seq", "actor_id"), 100, 20)
+    return spark.createDataFrame(rows, "seq long, actor_id string").withColumn("total", F.lit(total).cast("long"))
+
+
+@query("""
+SELECT o_orderkey, '{"customer":{"balance":' || c_acctbal || ',"name":"' || c_name || '"},"date":"' || CAST(o_orderdate AS DATE) || '","tags":{"clerk":null,"priority":"' || o_orderpriority || '","status":"' || o_orderstatus || '"},"total":[' || o_totalprice || ',null]}' AS details
+FROM orders JOIN customer ON o_custkey = c_custkey
+""")
+def canonical_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested details with maps as canonical JSON."""
+    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    tags = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"), F.lit("clerk"), F.lit(None).cast("string"))
+    shaped = j.select("o_orderkey", F.struct(
+        tags.alias("tags"), F.array("o_totalprice", F.lit(None).cast("double")).alias("total"), F.to_date("o_orderdate").alias("date"), F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")).alias("customer"),
+    ).alias("details"))
+    return shaped.select("o_orderkey", canonical.json_text(F.col("details"), shaped.schema["details"].dataType).alias("details"))
+
+
 @query("SELECT c_custkey, 'pan ABCPD****E of ' || c_name AS details, '''=' || c_name AS cell, 'AB_' || c_custkey AS file FROM customer")
 def audit_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").withColumn("details", F.concat(F.lit("pan ABCPD"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit("E of "), F.col("c_name")))
@@ -304,8 +348,6 @@ SELECT 'c' || o_custkey AS template_id, version, CASE WHEN b IS NULL THEN 2 ELSE
 FROM (SELECT *, lag(p) OVER w AS b, lag(s) OVER w AS bs FROM v WINDOW w AS (PARTITION BY o_custkey ORDER BY version))
 """)
 def history_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     version = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     v = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("template_id"), version.alias("version"), F.create_map(F.col("o_orderpriority"), F.lit("x"), F.lit("status"), F.col("o_orderstatus")).alias("label_map"))
     return templates.history(v).select("template_id", F.col("version"), F.size("added").alias("n_added"), F.size("removed").alias("n_removed"), F.size("changed").alias("n_changed"))

@@ -18,13 +18,20 @@ def session(app: str = "ticketloom", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=base | conf).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Eager checkpoint in the folder that spark.checkpoint.dir names: it survives lost executors, and what comes after is planned
-    on its own. Where none is named, one is made in local mode only: there the driver is the one executor."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors share. Where none is named, one is made in local mode
+    only: there the driver is the one executor."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ticketloom-"))
+        found = tempfile.mkdtemp(prefix="ticketloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Eager checkpoint in the shared folder: it survives lost executors, and what comes after is planned on its own."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
