@@ -106,6 +106,5 @@ def test_exports():
 
 
 def test_template_rules():
-    assert templates.slug("GSec Slip!", {"gsec-slip"}) == "gsec-slip_2"
     bad = {"label_map": {"x": "nope"}, "region_rules": [{"field": "isin", "bbox": [5, 1, 2, 3]}], "regex_rules": [{"field": "isin", "pattern": "(", "group": 1}, {"field": "price", "pattern": "a", "group": 1}], "constants": {"market": "IN"}}
     assert len(templates.problems(bad)) == 5 and templates.problems({"label_map": {"x": "_ignore", "y": "price"}}) == []

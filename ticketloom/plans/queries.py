@@ -15,7 +15,7 @@ from .. import model, rules
 from ..functions import canonical
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import append, audit, export, mapping, market, metrics, templates, validate
+from ..operators import append, audit, export, mapping, market, metrics, store, templates, validate
 from ..session import shared_dir
 from ..streaming.limiter import limit
 from .parse import parse
@@ -353,6 +353,30 @@ def history_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.history(v).select("template_id", F.col("version"), F.size("added").alias("n_added"), F.size("removed").alias("n_removed"), F.size("changed").alias("n_changed"))
 
 
+@query("""
+WITH r AS (SELECT o_orderkey AS request_id, 'c' || o_custkey AS template_id, o_orderkey % 3 AS part, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 1 + o_orderkey % 2 END AS expected FROM orders),
+w0 AS (SELECT template_id, min(request_id) AS id FROM r WHERE part = 0 GROUP BY 1),
+w1 AS (SELECT template_id, min(request_id) AS id FROM r SEMI JOIN w0 USING (template_id) WHERE part = 1 GROUP BY 1),
+c AS (SELECT r.*, CASE part WHEN 0 THEN 0 WHEN 1 THEN (w0.id IS NOT NULL)::INT ELSE (w0.id IS NOT NULL)::INT + (w1.id IS NOT NULL)::INT END AS current
+  FROM r LEFT JOIN w0 USING (template_id) LEFT JOIN w1 USING (template_id)),
+f AS (SELECT template_id, part, min(request_id) AS id FROM c WHERE expected = current GROUP BY ALL)
+SELECT request_id, c.template_id, expected, current, CASE WHEN expected <> current THEN 'stale' WHEN request_id <> f.id THEN 'taken' END AS reason,
+  CASE WHEN expected = current AND request_id = f.id THEN expected + 1 END AS version, CASE WHEN expected = current AND request_id = f.id THEN request_id END AS stored
+FROM c LEFT JOIN f USING (template_id, part)
+""")
+def template_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as version requests for their customer's template, in three commits; what was stored is read back."""
+    path, key = f"{shared_dir(spark)}/templates-{uuid.uuid4().hex}", F.col("o_orderkey")
+    asked = table(spark, sf_dir, "orders").select(
+        key.alias("request_id"), F.concat(F.lit("c"), F.col("o_custkey")).alias("template_id"), F.when(key % 3 == 0, 0).when(key % 3 == 1, 1).otherwise(1 + key % 2).cast("int").alias("expected"),
+        F.col("o_clerk").alias("created_by") if "o_clerk" in table(spark, sf_dir, "orders").columns else F.lit("x").alias("created_by"), F.create_map(F.lit("order"), key.cast("string")).alias("label_map"),
+    )
+    done = [store.commit(asked.where(F.col("request_id") % 3 == part), path) for part in range(3)]
+    held = store.versions(spark, path).select("template_id", "version", F.col("label_map")["order"].cast("long").alias("stored"))
+    every = done[0].unionByName(done[1]).unionByName(done[2])
+    return every.join(held, ["template_id", "version"], "left").select("request_id", "template_id", "expected", "current", "reason", "version", "stored")
+
+
 @query("""
 SELECT slip_id, field, value FROM (SELECT CAST(o_orderkey AS VARCHAR) AS slip_id, 'D-' || o_orderkey AS deal_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS trade_date,
   CAST(CAST(round(CAST(o_totalprice AS DECIMAL(20,4)), 2) AS DECIMAL(18,2)) AS VARCHAR) AS consideration FROM orders) UNPIVOT (value FOR field IN (deal_id, trade_date, consideration))
