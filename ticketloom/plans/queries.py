@@ -15,7 +15,7 @@ from .. import model, rules
 from ..functions import canonical
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import append, audit, export, mapping, market, metrics, store, templates, validate
+from ..operators import append, audit, drafts, export, mapping, market, metrics, store, templates, validate
 from ..session import shared_dir
 from ..streaming.limiter import limit
 from .parse import parse
@@ -377,6 +377,26 @@ def template_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(held, ["template_id", "version"], "left").select("request_id", "template_id", "expected", "current", "reason", "version", "stored")
 
 
+@query("""
+WITH e AS (SELECT l_orderkey AS template_id, 'l ' || (l_suppkey % 5) AS label, CASE l_partkey % 4 WHEN 0 THEN '_ignore' WHEN 1 THEN 'price' WHEN 2 THEN 'isin' ELSE 'quantity' END AS path,
+  row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 5 ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS r FROM lineitem),
+last AS (SELECT * FROM e WHERE r = 1),
+base AS (SELECT o_orderkey AS template_id, unnest(['l 0', 'l 7', 'l 1']) AS label, unnest(['yield', 'price', '_ignore']) AS path FROM orders)
+SELECT template_id, label, path FROM last UNION ALL SELECT template_id, label, path FROM base ANTI JOIN last USING (template_id, label)
+""")
+def draft_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a reviewer's edits of their order's template."""
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("template_id"), F.create_map(*map(F.lit, ["l 0", "yield", "l 7", "price"])).alias("label_map"), F.array(F.lit("l 1")).alias("ignore"))
+    k = F.col("l_partkey") % 4
+    edits = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("template_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), F.concat(F.lit("L/"), F.col("l_suppkey") % 5).alias("label"),
+        F.when(k == 0, "_ignore").when(k == 1, "price").when(k == 2, "isin").otherwise("quantity").alias("target"),
+    )
+    out = drafts.merged(base, edits)
+    rows = F.concat(F.transform(F.map_entries("label_map"), lambda e: F.struct(e["key"].alias("label"), e["value"].alias("path"))), F.transform("ignore", lambda i: F.struct(i.alias("label"), F.lit("_ignore").alias("path"))))
+    return out.select("template_id", F.inline(rows))
+
+
 @query("""
 SELECT slip_id, field, value FROM (SELECT CAST(o_orderkey AS VARCHAR) AS slip_id, 'D-' || o_orderkey AS deal_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS trade_date,
   CAST(CAST(round(CAST(o_totalprice AS DECIMAL(20,4)), 2) AS DECIMAL(18,2)) AS VARCHAR) AS consideration FROM orders) UNPIVOT (value FOR field IN (deal_id, trade_date, consideration))
