@@ -15,7 +15,7 @@ from .. import model, rules
 from ..functions import canonical
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import append, audit, drafts, export, mapping, market, metrics, store, templates, validate
+from ..operators import append, audit, drafts, export, extract, mapping, market, metrics, similar, store, templates, tiles, validate
 from ..session import shared_dir
 from ..streaming.limiter import limit
 from .parse import parse
@@ -129,10 +129,80 @@ LABEL_CASES = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in [*LABEL_CASES, ("Settlment Date", "settlement_date", "fuzzy")]) + ") t(label, path, method)")
+LABEL_CASES.append(("Settlment Date", "settlement_date", "fuzzy"))
+LABELS_SHOWN = [*dict.fromkeys(a for a, *_ in LABEL_CASES), "GST No"]
+
+
+def part_label(i: int) -> str:
+    """SQL of the i-th label as a part shows it, with a note in parentheses; one label has its own parentheses."""
+    return f"'{LABELS_SHOWN[i]}'" if LABELS_SHOWN[i].startswith("Rate") else f"'{LABELS_SHOWN[i]} (' || p_partkey || ')'"
+
+
+@query("SELECT DISTINCT label, path, method FROM (" + " UNION ALL ".join(
+    f"SELECT {part_label(LABELS_SHOWN.index(a))} AS label, '{b}' AS path, '{c}' AS method FROM part WHERE p_partkey % {len(LABELS_SHOWN)} = {LABELS_SHOWN.index(a)}" for a, b, c in LABEL_CASES
+) + ")")
 def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = spark.createDataFrame([(x,) for x in dict.fromkeys(a for a, *_ in LABEL_CASES)] + [("Settlment Date",), ("GST No",)], "label string")
-    return mapping.label_hits(labels).select("label", "path", "method")
+    """A label for each part, most of them with a note that no other part has."""
+    shown = F.coalesce(*(F.when(F.col("p_partkey") % len(LABELS_SHOWN) == i, F.expr(part_label(i))) for i in range(len(LABELS_SHOWN))))
+    return mapping.label_hits(table(spark, sf_dir, "part").select(shown.alias("label"))).select("label", "path", "method")
+
+
+@query()
+def label_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name with a letter left out, and the name that is most like it; SQL has no such ratio, so it is tested against difflib."""
+    p = table(spark, sf_dir, "part")
+    at = (F.col("p_partkey") % F.length("p_name") + 1).cast("int")
+    labels = p.select("p_partkey", F.concat(F.substring(F.col("p_name"), F.lit(1), at - 1), F.substring(F.col("p_name"), at + 1, F.length("p_name"))).alias("label"))
+    best = similar.best_matches(labels.select(F.col("label").alias("text")), p.select(F.col("p_name").alias("text")), 0.85)
+    return labels.join(best, F.col("label") == F.col("text"), "left").select("p_partkey", "label", "match", "score")
+
+
+NUMBERED_LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS rn FROM lineitem"
+
+
+def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a page for each order, a text line for each line item; a line's words stand up to a point apart in height."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    li = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(order))
+
+    def word(i, text, x0, x1, jitter=0.0):
+        top = F.col("rn") * 12.0 + jitter
+        return F.struct((F.col("rn") * 10 + i).alias("ord"), text.alias("text"), F.struct(F.lit(float(x0)).alias("x0"), top.alias("top"), F.lit(float(x1)).alias("x1"), (top + 8).alias("bottom")).alias("bbox"))
+
+    whole = lambda c: F.round(c).cast("bigint").cast("string")
+    shown = F.array(
+        word(0, F.lit("Qty:"), 10, 40), word(1, whole(F.col("l_quantity")), 45, 60, 0.9), word(2, F.lit("|"), 65, 68), word(3, F.lit("Ship"), 80, 100, -0.8), word(4, F.lit("Date:"), 104, 130),
+        word(5, F.date_format("l_shipdate", "yyyy-MM-dd"), 136, 190, 0.4),
+    )
+    gap = F.array(word(0, F.lit("Discount"), 10, 60), word(1, whole(F.col("l_discount") * 100), 120, 150, -0.6))
+    return li.select(F.col("l_orderkey").alias("slip_id"), F.lit(1).alias("page"), F.inline(F.when(F.col("l_partkey") % 4 == 3, gap).otherwise(shown)))
+
+
+@query(f"""
+WITH l AS ({NUMBERED_LINES})
+SELECT l_orderkey AS slip_id, rn - 1 AS row_no, 0 AS i, CASE WHEN l_partkey % 4 = 3 THEN 'Discount' ELSE 'Qty' END AS key, CAST(CAST(round(CASE WHEN l_partkey % 4 = 3 THEN l_discount * 100 ELSE l_quantity END) AS BIGINT) AS VARCHAR) AS value FROM l
+UNION ALL SELECT l_orderkey, rn - 1, 1, 'Ship Date', strftime(l_shipdate, '%Y-%m-%d') FROM l WHERE l_partkey % 4 <> 3
+""")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words to lines, segments and pairs."""
+    return extract.text_pairs(line_words(spark, sf_dir)).select("slip_id", "row_no", "i", "key", "value")
+
+
+@query(f"""
+WITH l AS ({NUMBERED_LINES}),
+q AS (SELECT l_orderkey, string_agg(CAST(CAST(round(l_quantity) AS BIGINT) AS VARCHAR), ' ' ORDER BY rn) AS v FROM l WHERE rn <= 2 AND l_partkey % 4 <> 3 GROUP BY 1),
+w AS (SELECT l_orderkey, sum(CASE WHEN l_partkey % 4 = 3 THEN 1 ELSE 3 END)::BIGINT AS n FROM l GROUP BY 1)
+SELECT o_orderkey AS slip_id, r AS rule, CASE r WHEN 0 THEN coalesce(v, '') ELSE '' END AS value, coalesce(n, 0) AS n_outside
+FROM orders CROSS JOIN (VALUES (0), (1)) x(r) LEFT JOIN q ON q.l_orderkey = o_orderkey LEFT JOIN w ON w.l_orderkey = o_orderkey
+""")
+def region_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words in two regions of each order's page, one of which is empty, and how many words lie outside a table's box."""
+    words = line_words(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slip_id"), F.lit(1).alias("page"))
+    box = lambda *c: F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("x0", "top", "x1", "bottom"), c, strict=True)))
+    regions = o.select("*", F.inline(F.array(F.struct(F.lit(0).alias("rule"), box(44.5, 0, 59.5, 34).alias("bbox")), F.struct(F.lit(1).alias("rule"), box(500, 0, 9000, 9000).alias("bbox")))))
+    rest = tiles.outside(words, o.select("*", box(0, 0, 70, 1e6).alias("bbox"))).groupBy("slip_id").agg(F.count("*").alias("n"))
+    return tiles.region_texts(words, regions).join(rest, "slip_id", "left").select("slip_id", "rule", "value", F.coalesce("n", F.lit(0)).alias("n_outside"))
 
 
 def line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
