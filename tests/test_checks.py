@@ -110,3 +110,57 @@ def test_long_amounts(spark):
     assert {r.x: r.r.value for r in got} == cases and all((r.r.error is None) == (r.r.value is not None) for r in got)
     rates = df.limit(1).select(V.parse_rate(F.lit("6.12345678901234% p.a.")).alias("a"), V.parse_rate(F.lit("6.123456789012345%")).alias("b")).first()
     assert rates.a.value == Decimal("6.12345678901234") and rates.a.places == 14 and rates.b.error == "VALUE_UNPARSEABLE"
+
+
+#: code, deal, whether the check fails; None: the numbers are too long for it
+LONG = [
+    ("PRINCIPAL_MISMATCH", dict(face_value="100000000000000", price="99.5", principal_amount="99500000000000"), False),
+    ("PRINCIPAL_MISMATCH", dict(face_value="100000000000000", price="99.5", principal_amount="99500000000001", price_places=14), True),
+    ("PRINCIPAL_MISMATCH", dict(face_value="999999999999999999999999", price="100", principal_amount="999999999999999999999999"), False),
+    ("PRINCIPAL_MISMATCH", dict(face_value="999999999999999999999999", price="100", principal_amount="1"), True),
+    ("PRINCIPAL_MISMATCH", dict(face_value="1000000", price="98.12345678901234", principal_amount="981234.59", price_places=14), True),
+    ("PRINCIPAL_MISMATCH", dict(face_value="1000000", price="98.12345678901234", principal_amount="981234.57", price_places=14), False),
+    ("PRINCIPAL_MISMATCH", dict(face_value="1000000000000", price="98.123456789012", principal_amount="981234567890.13", price_places=12), False),
+    ("PRINCIPAL_MISMATCH", dict(face_value="1000000000000", price="98.123456789012", principal_amount="981234567890.16", price_places=12), True),
+    ("PRINCIPAL_MISMATCH", dict(face_value="123456789012345678901234.12345678901234", price="98.12345678901234", principal_amount="1"), None),
+    ("QUANTITY_MISMATCH", dict(face_value_per_unit="0.00001", quantity=100000, face_value="1"), False),
+    ("QUANTITY_MISMATCH", dict(face_value_per_unit="0.00000000000001", quantity=10**14, face_value="1"), False),
+    ("QUANTITY_MISMATCH", dict(face_value_per_unit="99999999999999999999999", quantity=10, face_value="999999999999999999999990"), False),
+    ("QUANTITY_MISMATCH", dict(face_value_per_unit="99999999999999999999999", quantity=10, face_value="999999999999999999999991"), True),
+    ("CONSIDERATION_MISMATCH", dict(deal_type="OUTRIGHT", principal_amount="99999999999999999999", accrued_interest="0.00000000000001", consideration="99999999999999999999.01"), False),
+    ("CONSIDERATION_MISMATCH", dict(deal_type="OUTRIGHT", principal_amount="99999999999999999999", accrued_interest="0.02000000000001", consideration="99999999999999999999.01"), True),
+    ("ACCRUED_MISMATCH", dict(day_count="30/360", face_value="500000000000000000", coupon_rate="7.1", accrued_days=167, accrued_interest="16468055555555555.56"), False),
+    ("ACCRUED_MISMATCH", dict(day_count="30/360", face_value="500000000000000000", coupon_rate="7.1", accrued_days=167, accrued_interest="16468055555555555.58"), True),
+    ("REPO_INTEREST_CALC", dict(deal_type="REPO", repo__leg1_amount="1000000000000000000", repo__repo_rate="5.4", repo__repo_days=3, repo__repo_interest="443835616438356.16"), False),
+]
+
+
+def test_long_numbers(spark):
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("price_places", T.IntegerType()), *WIDE.fields])
+    deals = [(k, deal.get("price_places", 2), *row(deal)) for k, (_, deal, _) in enumerate(LONG)]
+    issues = {r.k: r.issues for r in validate.validate(validate.wide(spark.createDataFrame(deals, schema))).collect()}
+    for k, (code, _, fails) in enumerate(LONG):
+        own = [(i.code, i.expected) for i in issues[k]]
+        assert (code in [c for c, _ in own]) == bool(fails) and (("NUMBER_TOO_LONG", code) in own) == (fails is None), (k, own)
+
+
+def test_long_derivations(spark):
+    cases = [
+        (dict(face_value_per_unit="1000000000", face_value="7000000000"), dict(quantity=7)),
+        (dict(face_value_per_unit="0.00001", face_value="3"), dict(quantity=300000)),
+        (dict(face_value_per_unit="3", face_value="10"), dict(quantity=None)),
+        (dict(face_value_per_unit="99999999999999999999999", quantity=10), dict(face_value="999999999999999999999990")),
+        (dict(face_value_per_unit="999999999999999999999999", quantity=10**9), dict(face_value=None)),
+        ({"instrument_type": "TBILL", "tenor_days": 182, "yield": "12345678"}, dict(price="0.0016")),
+        ({"instrument_type": "TBILL", "tenor_days": 182, "yield": "123456789012345678901234"}, dict(price="0")),
+        ({"instrument_type": "TBILL", "tenor_days": 182, "yield": "-200"}, dict(price=None)),
+        ({"instrument_type": "TBILL", "tenor_days": 91, "yield": "6.12345678901234"}, dict(price="98.4922")),
+    ]
+    schema = T.StructType([T.StructField("k", T.IntegerType()), *(f for f in WIDE.fields if f.name != "market")])
+    at = WIDE.names.index("market")
+    df = spark.createDataFrame([(k, *(v for i, v in enumerate(row(deal)) if i != at)) for k, (deal, _) in enumerate(cases)], schema)
+    more = F.create_map().cast(f"map<string,{META}>")
+    got = {r.k: r for r in derive.derive(df.withColumns({"meta": more, "text": F.lit(""), "labels": F.lit(""), "market": F.lit("IN")})).collect()}
+    for k, (_, want) in enumerate(cases):
+        for column, value in want.items():
+            assert got[k][column] == (None if value is None else Decimal(str(value)) if isinstance(got[k][column], Decimal) else value), (k, column, got[k][column])
