@@ -41,10 +41,11 @@ def plain(x):
 def test_as_json_dumps(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     whole = F.struct(*(F.col(c) for c in df.columns))
-    got = df.select(*df.columns, canonical.json_text(whole, df.schema).alias("text")).collect()
+    got = df.select(*df.columns, canonical.json_text(whole, df.schema).alias("text"), canonical.json_text(whole, df.schema, " ").alias("wide")).collect()
     assert len(got) == 300
     for r in got:
-        value = {k: v for k, v in plain(r).items() if k != "text"}
+        value = {k: v for k, v in plain(r).items() if k not in ("text", "wide")}
+        assert r.wide == json.dumps(value, sort_keys=True, ensure_ascii=False, default=str)
         assert r.text == json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
 
 

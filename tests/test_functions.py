@@ -97,9 +97,46 @@ def test_chain_and_search(spark):
     assert [r.seq for r in audit.page(audit.search(log, after="2024-01-02", before="2024-01-02"), 2).collect()] == [5, 4]
 
 
+def element(name, value):
+    """XML as a plain walk over the value."""
+    t = export.tag(name)
+    if value is None:
+        return f'<{t} null="true"/>'
+    if isinstance(value, dict):
+        return f"<{t}>{''.join(element(k, v) for k, v in value.items())}</{t}>"
+    if isinstance(value, list):
+        return f"<{t}>{''.join(element('item', v) for v in value)}</{t}>"
+    text = str(value).lower() if isinstance(value, bool) else str(value)
+    return f"<{t}>{text.replace('&', '&amp;').replace('<', '&lt;').replace('>', '&gt;')}</{t}>"
+
+
+def test_xml(spark):
+    assert element("deal", {"a b": None, "1x": [1, True], "t": "<&"}) == '<deal><a_b null="true"/><_1x><item>1</item><item>true</item></_1x><t>&lt;&amp;</t></deal>'
+    schema = "s string, `1 x` array<struct<a:int,`é b`:boolean>>, m map<string,double>, d date, n decimal(10,2), e struct<p:string,q:array<string>>"
+    import datetime
+    import decimal
+
+    rows = [
+        ("a<b>&\"é", [(1, True), None, (None, False)], {"x y": 1.5, "9": None}, datetime.date(2024, 1, 2), decimal.Decimal("1.50"), (None, [])), (None, None, None, None, None, None), ("", [], {}, None, None, ("", [None, "z"])),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = export.to_xml(df.select(F.struct("*").alias("r")), "r").collect()
+    plain = lambda x: {k: plain(v) for k, v in (x.asDict() if hasattr(x, "asDict") else x).items()} if hasattr(x, "items") or hasattr(x, "asDict") else [plain(v) for v in x] if isinstance(x, list) else x
+    for r in got:
+        inner = "".join(element(k, v) for k, v in plain(r.r).items())
+        assert r.xml == f'<?xml version="1.0" encoding="UTF-8"?><parse_result schema_version="1">{inner}</parse_result>'
+
+
+def test_audit_export(spark, tmp_path):
+    log = spark.createDataFrame([(2, "=x", {"b": "1", "a": "é"}, None), (1, "ok,\"q", None, "e")], "seq long, action string, details map<string,string>, error string")
+    rows = audit.export_rows(log).collect()
+    assert rows[0].asDict() == {"seq": 1, "action": 'ok,"q', "error": "e", "details": None} and (rows[1].action, rows[1].details) == ("'=x", '{"a": "é", "b": "1"}')
+    audit.write_csv(log.coalesce(1), str(tmp_path / "x"))
+    text = next((tmp_path / "x").glob("*.csv")).read_bytes().decode()
+    assert text == '\ufeffseq,action,error,details\n1,"ok,""q",e,\n2,\'=x,,"{""a"": ""é"", ""b"": ""1""}"\n'
+
+
 def test_exports():
-    xml = export.element("deal", {"a b": None, "1x": [1, True], "t": "<&"})
-    assert xml == '<deal><a_b null="true"/><_1x><item>1</item><item>true</item></_1x><t>&lt;&amp;</t></deal>'
     import xml.etree.ElementTree as E
 
     assert len(list(E.fromstring(export.xsd(model.deal_schema())).iter("{http://www.w3.org/2001/XMLSchema}element"))) == 45 + 1 + 2 + 4 + 15

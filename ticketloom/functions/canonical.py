@@ -68,24 +68,25 @@ def float_text(c: Column) -> Column:
     return let(c.cast("double"), shortest)
 
 
-def members(fields: list[tuple[str, Column, T.DataType]]) -> list[Column]:
+def members(fields: list[tuple[str, Column, T.DataType]], gap: str = "") -> list[Column]:
     """``"name":value`` of each field, in the order of the names."""
-    return [F.concat(quoted(F.lit(name)), F.lit(":"), json_text(c, t)) for name, c, t in sorted(fields, key=lambda f: f[0])]
+    return [F.concat(quoted(F.lit(name)), F.lit(f":{gap}"), json_text(c, t, gap)) for name, c, t in sorted(fields, key=lambda f: f[0])]
 
 
-def joined(items: list[Column]) -> Column:
+def joined(items: list[Column], gap: str = "") -> Column:
     """The items with commas between."""
-    return F.concat(*(x for i, c in enumerate(items) for x in ((F.lit(","), c) if i else (c,)))) if items else F.lit("")
+    return F.concat(*(x for i, c in enumerate(items) for x in ((F.lit(f",{gap}"), c) if i else (c,)))) if items else F.lit("")
 
 
-def json_text(c: Column, t: T.DataType) -> Column:
+def json_text(c: Column, t: T.DataType, gap: str = "") -> Column:
+    """The text of a column of a type; gap stands behind commas and colons (a space, as json.dumps has it by itself)."""
     if isinstance(t, T.StructType):
-        text = F.concat(F.lit("{"), joined(members([(f.name, c[f.name], f.dataType) for f in t])), F.lit("}"))
+        text = F.concat(F.lit("{"), joined(members([(f.name, c[f.name], f.dataType) for f in t], gap), gap), F.lit("}"))
     elif isinstance(t, T.MapType):
         entries = F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string").alias("key"), e["value"].alias("value"))), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
-        text = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), json_text(e["value"], t.valueType))), ","), F.lit("}"))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(f":{gap}"), json_text(e["value"], t.valueType, gap))), f",{gap}"), F.lit("}"))
     elif isinstance(t, T.ArrayType):
-        text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda e: json_text(e, t.elementType)), ","), F.lit("]"))
+        text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda e: json_text(e, t.elementType, gap)), f",{gap}"), F.lit("]"))
     elif isinstance(t, T.BooleanType) or isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         text = c.cast("string")
     elif isinstance(t, (T.FloatType, T.DoubleType)):

@@ -14,16 +14,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
-from ..functions.canonical import joined, members
+from ..functions.canonical import joined, json_text, members
 from ..functions.text import formula_safe, mask_pan
 
 GENESIS = "0" * 64
 # The columns of a record, in export order.
 COLUMNS = (
-    "seq event_id occurred_at actor_type actor_id actor_name action entity_type entity_id outcome error details request_id ip_address "
-    "user_agent prev_hash row_hash"
+    "seq occurred_at action outcome error actor_type actor_id actor_name entity_type entity_id details request_id ip_address user_agent event_id "
+    "prev_hash row_hash"
 ).split()
 MASKED = ("actor_name", "error", "details")
 
@@ -127,5 +127,20 @@ def page_with_total(df: DataFrame, limit: int = 50, offset: int = 0) -> tuple[li
 
 
 def export_rows(df: DataFrame) -> DataFrame:
-    """The fixed columns, oldest first, text safe for spreadsheets."""
-    return df.select(*(formula_safe(c).alias(c) if t == "string" else F.col(c) for c, t in df.select(*[c for c in COLUMNS if c in df.columns]).dtypes)).orderBy("seq")
+    """The fixed columns, oldest first, text safe for spreadsheets; maps and structs as JSON with sorted keys."""
+
+    def cell(c: str) -> Column:
+        t = df.schema[c].dataType
+        if isinstance(t, StringType):
+            return formula_safe(c).alias(c)
+        return (F.when(F.col(c).isNotNull(), json_text(F.col(c), t, " ")) if isinstance(t, (StructType, MapType, ArrayType)) else F.col(c)).alias(c)
+
+    return df.select(*(cell(c) for c in COLUMNS if c in df.columns)).orderBy("seq")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Export as CSV part files with headers, each with a byte order mark so that spreadsheets read UTF-8."""
+    out = export_rows(df)
+    first = out.columns[0]
+    shown = out.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in out.columns)).withColumnRenamed(first, "\ufeff" + first)
+    shown.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)

@@ -20,6 +20,20 @@ def histogram(df: DataFrame, value: str, by: list[str] = (), bounds: tuple[float
     return df.groupBy(*by).agg(*counts).select(*by, F.inline(rows))
 
 
+def totals(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """by, n, total: what a histogram's buckets don't say; null values are left out."""
+    return df.groupBy(*by).agg(F.count(value).alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total"))
+
+
+def summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, n, min, p50, p95, max, of groups with two values at least (the exclusive definition has no percentile of one)."""
+    ends = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias("min"), F.max(value).alias("max"))
+    p50, p95 = (exclusive_percentile(df, value, p, by).withColumnRenamed("value", f"p{p * 100:g}") for p in (0.5, 0.95))
+    on = lambda a, b: [a[c].eqNullSafe(b[c]) for c in by]
+    both = p50.join(p95, on(p50, p95)).select(*(p50[c] for c in by), p50["n"], "p50", "p95")
+    return both.join(ends, on(both, ends)).select(*(both[c] for c in by), "n", "min", "p50", "p95", "max")
+
+
 def exclusive_percentile(df: DataFrame, value: str, p: float, by: list[str]) -> DataFrame:
     """by, n, value at rank p * (n + 1), interpolated between neighbours (the exclusive definition, which Spark's percentile isn't);
     null for fewer than two values."""

@@ -17,8 +17,9 @@ from ..functions import text as X
 from ..functions import values as V
 from ..operators import append, audit, drafts, export, extract, mapping, market, metrics, similar, store, templates, tiles, validate
 from ..session import shared_dir
+from ..streaming import metrics as stream
 from ..streaming.limiter import limit
-from .parse import parse
+from .parse import parse, parse_mapped
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -85,6 +86,72 @@ def parse_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def layout_slips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, pairs, words) of a slip for each order, laid out by its priority: two labels that only a template knows, one to be ignored,
+    one that nobody knows, the price in the text, the face value as a word on the page."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    line = lambda i, label, v: F.struct(F.lit(i).alias("pair_idx"), (label if isinstance(label, Column) else F.lit(label)).alias("key"), v.alias("value"))
+    by_layout = lambda name: F.concat(F.lit(name + " "), F.col("o_orderpriority"))
+    rows = [
+        line(0, "Deal Type", F.lit("OUTRIGHT PURCHASE")), line(1, "Trade Date", F.date_format("o_orderdate", "dd-MMM-yyyy")), line(2, "Value Date", F.date_format(F.date_add(F.to_date("o_orderdate"), 1), "dd/MM/yyyy")),
+        line(3, by_layout("Kennung"), F.lit("IN0020240A75")), line(4, by_layout("Gesamt"), amount_text(F.col("o_totalprice"), True)), line(5, by_layout("Vermerk"), F.lit("void")), line(6, "Zzz", F.col("o_orderstatus")),
+    ]
+    box = "struct<x0:double,top:double,x1:double,bottom:double>"
+    slip = k.cast("string").alias("slip_id")
+    pairs = o.select(slip, F.inline(F.array(*rows))).withColumns({"source": F.lit("table"), "page": F.lit(1), "key_bbox": F.lit(None).cast(box), "value_bbox": F.lit(None).cast(box)})
+    texts = o.select(slip, F.concat(F.lit("Deal slip in INR, settled by CCIL, clean px "), 95 + k % 10, F.lit(".2500 per 100, order "), k).alias("text"))
+    at = lambda x0, top: F.struct(F.lit(float(x0)).alias("x0"), F.lit(float(top)).alias("top"), F.lit(x0 + 50.0).alias("x1"), F.lit(top + 8.0).alias("bottom")).alias("bbox")
+    shown = F.array(F.struct(F.lit(0).alias("ord"), F.lit("Nominal").alias("text"), at(20, 200)), F.struct(F.lit(1).alias("ord"), grouped((k + 1) * 1000, True).alias("text"), at(100, 200)))
+    return texts, pairs, o.select(slip, F.lit(1).alias("page"), F.inline(shown))
+
+
+def approved_layouts(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """A reviewer's mapping for the first order of each priority, sent for approval; one lacks the rule for the price."""
+    texts, pairs, words = layout_slips(spark, sf_dir)
+    first = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("request_id")).agg(F.min("o_orderkey").cast("string").alias("slip_id"))
+    null = lambda t: F.lit(None).cast(t)
+    edit = lambda name, target: F.struct(F.concat(F.lit(name + " "), F.col("request_id")).alias("label"), F.lit(target).alias("target"))
+    region = F.array(F.struct(F.lit("face_value").alias("field"), F.lit(1).alias("page"), F.array(*map(F.lit, (95.0, 195.0, 200.0, 212.0))).alias("bbox")))
+    regex = F.array(F.struct(F.lit("price").alias("field"), F.lit(r"px ([\d.]+) per 100").alias("pattern"), F.lit(1).alias("group")))
+    requests = first.select(
+        "request_id", "slip_id", null("string").alias("template_id"), F.col("request_id").alias("name"), F.array(edit("Kennung", "isin"), edit("Gesamt", "consideration"), edit("Vermerk", "_ignore")).alias("label_map"),
+        F.array().cast("array<string>").alias("keywords"), region.alias("region_rules"), F.when(F.col("request_id") != "5-LOW", regex).alias("regex_rules"), F.create_map(F.lit("security_name"), F.lit("7.10% GS 2034")).alias("constants"),
+        null("string").alias("date_order"), F.lit(True).alias("accept_issues"), F.lit("reviewer").alias("created_by"),
+    )
+    return drafts.approve(requests, texts, pairs, words, path)
+
+
+@query("""
+SELECT DISTINCT o_orderpriority AS request_id, regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g') AS template_id, CASE WHEN o_orderpriority <> '5-LOW' THEN 1 END AS version,
+  CASE WHEN o_orderpriority = '5-LOW' THEN 'missing:price' ELSE '' END AS blocked FROM orders
+""")
+def template_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = approved_layouts(spark, sf_dir, f"{shared_dir(spark)}/templates-{uuid.uuid4().hex}")
+    return out.withColumn("blocked", F.array_join("blocked", ","))
+
+
+@query("""
+WITH o AS (SELECT *, o_orderpriority = '5-LOW' AS new, CAST(o_orderdate AS DATE) + 1 AS settle FROM orders)
+SELECT CAST(o_orderkey AS VARCHAR) AS slip_id, CASE WHEN NOT new THEN regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g') END AS template_id,
+  CASE WHEN new THEN 'NEW_TEMPLATE' WHEN isodow(settle) > 5 THEN 'NEEDS_REVIEW' ELSE 'PARSED' END AS status, CASE WHEN NOT new THEN 'IN0020240A75' END AS isin, CASE WHEN NOT new THEN 95.25 + o_orderkey % 10 END::DOUBLE AS price,
+  CASE WHEN NOT new THEN (o_orderkey + 1) * 1000 END::DOUBLE AS face_value, CASE WHEN NOT new THEN CAST(CAST(round(CAST(o_totalprice AS DECIMAL(20,4)), 2) AS DECIMAL(18,2)) AS DOUBLE) END AS consideration, settle AS settlement_date,
+  CASE WHEN new THEN 4 ELSE 1 END AS n_unmapped, CASE WHEN NOT new THEN 100.0 END::DOUBLE AS face_value_x FROM o
+""")
+def template_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders' slips through the templates that were approved for four of five layouts, as whole results: label maps, region, regex and
+    constant rules, provenance and unmapped pairs."""
+    path = f"{shared_dir(spark)}/templates-{uuid.uuid4().hex}"
+    approved_layouts(spark, sf_dir, path)
+    texts, pairs, words = layout_slips(spark, sf_dir)
+    parsed, mapped = parse_mapped(texts, pairs, store.current(spark, path, is_active=True), words)
+    r = F.col("result")
+    amount = lambda c: r["deal"][c].cast("double").alias(c)
+    return export.envelope(parsed, pairs, mapped).select(
+        "slip_id", r["template"]["template_id"].alias("template_id"), r["status"].alias("status"), r["deal"]["isin"].alias("isin"), amount("price"), amount("face_value"), amount("consideration"),
+        r["deal"]["settlement_date"].cast("date").alias("settlement_date"), F.size(r["unmapped"]).alias("n_unmapped"), F.try_element_at(r["fields"], F.lit("face_value"))["bbox"]["x0"].alias("face_value_x"),
+    )
+
+
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders")
 def parse_date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 6
@@ -403,6 +470,34 @@ def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(table(spark, sf_dir, "events"), "value", ["event_type"], (1.0, 10.0, 50.0))
 
 
+@query("""
+SELECT event_type, b.le, count(*) FILTER (WHERE value <= b.x) AS n FROM events, (VALUES ('1', 1.0), ('10', 10.0), ('50', 50.0), ('+Inf', 'inf'::DOUBLE)) b(le, x) GROUP BY ALL
+""")
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same histogram from a stream of the events in three files by time, stopped after two and restarted from its checkpoint."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    low, high = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    third = F.floor(3.0 * (F.unix_micros("ts") - low) / (high - low + 1))
+    for i in range(3):
+        e.where(third == i).write.mode("append").parquet(f"{base}/in")
+        if i:
+            counts = stream.bucket_counts(spark.readStream.schema(e.schema).parquet(f"{base}/in"), "value", ["event_type"], (1.0, 10.0, 50.0))
+            stream.keep_updates(counts, f"{base}/out", f"{base}/state")
+    return stream.histogram_so_far(spark, f"{base}/out", ["event_type"], (1.0, 10.0, 50.0))
+
+
+@query("""
+WITH r AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL),
+g AS (SELECT user_id, n, min(v) AS lo, max(v) AS hi FROM r GROUP BY ALL HAVING n > 1),
+p AS (SELECT g.*, q, q * (n + 1) AS pos, least(greatest(floor(q * (n + 1)), 1), n - 1)::BIGINT AS k FROM g, (VALUES (0.5), (0.95)) x(q)),
+v AS (SELECT p.user_id, p.n, p.lo, p.hi, p.q, round(a.v + (p.pos - p.k) * (b.v - a.v), 6) AS value FROM p JOIN r a ON a.user_id = p.user_id AND a.i = p.k JOIN r b ON b.user_id = p.user_id AND b.i = p.k + 1)
+SELECT user_id, n, lo AS min, max(value) FILTER (WHERE q = 0.5) AS p50, max(value) FILTER (WHERE q = 0.95) AS p95, hi AS max FROM v GROUP BY user_id, n, lo, hi
+""")
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.summary(table(spark, sf_dir, "events"), "value", ["user_id"]).withColumns({c: F.round(c, 6) for c in ("p50", "p95")})
+
+
 @query("""
 WITH r AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
 p AS (SELECT DISTINCT event_type, n, 0.95 * (n + 1) AS pos, least(greatest(floor(0.95 * (n + 1)), 1), n - 1)::BIGINT AS lo FROM r WHERE n > 1)
@@ -476,6 +571,18 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.field_rows(validate.wide(deals))
 
 
+@query("""
+SELECT o_orderkey, '<?xml version="1.0" encoding="UTF-8"?><parse_result schema_version="1"><status>PARSED</status><deal><deal_id>D&amp;' || o_orderkey || '</deal_id><trade_date>' || CAST(o_orderdate AS DATE) || '</trade_date><price null="true"/><amount>' || o_totalprice
+  || '</amount><linked>' || (CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END) || '</linked></deal><fields><a_b>' || o_orderstatus || '</a_b><_1st null="true"/></fields><missing_required><item>' || o_orderpriority || '</item><item null="true"/></missing_required></parse_result>' AS xml FROM orders
+""")
+def export_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of all orders as XML, compiled from their type."""
+    k, null = F.col("o_orderkey"), F.lit(None).cast("string")
+    deal = F.struct(F.concat(F.lit("D&"), k).alias("deal_id"), F.to_date("o_orderdate").alias("trade_date"), null.alias("price"), F.col("o_totalprice").alias("amount"), (k % 2 == 0).alias("linked"))
+    result = F.struct(F.lit("PARSED").alias("status"), deal.alias("deal"), F.create_map(F.lit("a b"), F.col("o_orderstatus"), F.lit("1st"), null).alias("fields"), F.array(F.col("o_orderpriority"), null).alias("missing_required"))
+    return export.to_xml(table(spark, sf_dir, "orders").select("o_orderkey", result.alias("r")), "r").select("o_orderkey", "xml")
+
+
 @query()
 def limiter_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold over each user's events in time order; SQL has none, so it is tested against a plain loop."""
