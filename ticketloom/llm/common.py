@@ -78,6 +78,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def narrowed(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df, in no more partitions than so many rows need: a small table that many joins and groupings pass on is dealt out over all tasks of a
+    large job else, over and over."""
+    return df.coalesce(max(1, min(partitions(df.sparkSession), -(-rows // each))))
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the two columns that are needed, so extra columns can't clash and are pruned from the scan."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -26,6 +26,7 @@ told by a 128-bit hash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, batch, cut, partitions, slices, table, to_arrow, written
+from .common import SHINGLE_WORDS, batch, cut, narrowed, partitions, slices, table, to_arrow, written
 from .op1_decontaminate import WordHash, window_hashes, words_of
 from .op3_simhash import components
 
@@ -43,6 +44,8 @@ PERCENT, HALF, KEYS, STRIDE = 85, 3, 9, 1 << 12
 #: 64-bit words of a parity sketch; slots of a filter on the rows that are read again; pairs of a first node, and nodes of a list's
 #: block (outside the largest component, and all), that are dealt out together.
 SKETCH, SLOTS, PAIRS, OUTSIDE, ALL = 8, 1 << 20, 128, 1024, 4096
+#: Sets with their shingle hashes that a task of a verification takes.
+SETS = 2000
 
 
 def text_key() -> Column:
@@ -104,14 +107,14 @@ def signatures(docs: DataFrame, half: int, m: int) -> DataFrame:
     return texts_of(docs).mapInArrow(run, schema)
 
 
-def met_again(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """node, x (its sorted shingle hashes) of the nodes in met (node, _id, _tkey). A filter of SLOTS slots, at most so many broadcast
+def met_again(docs: DataFrame, met: DataFrame, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, x (its sorted shingle hashes) of the nodes in met (node, _id, _tkey), in as many partitions as `few` makes. A filter of SLOTS slots, at most so many broadcast
     rows, keeps most other rows out of the shuffle."""
     slot = lambda i, k: F.pmod(F.xxhash64(i, k), F.lit(SLOTS))
     slots = met.select(slot("_id", "_tkey").alias("slot")).distinct()
     rows = texts_of(docs)
     rows = rows.join(F.broadcast(slots), slot("doc_id", "tkey") == F.col("slot"), "left_semi")
-    found = rows.join(met, rows["doc_id"].eqNullSafe(met["_id"]) & (rows["tkey"] == met["_tkey"])).select("node", "text")
+    found = few(rows.join(met, rows["doc_id"].eqNullSafe(met["_id"]) & (rows["tkey"] == met["_tkey"])).select("node", "text"))
     schema = "node long, x binary"
     out = to_arrow(docs.sparkSession, schema)
 
@@ -133,12 +136,16 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs u, v whose sets are similar."""
     pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = cut(met_again(docs, nodes.join(ends, "node").select("node", F.col("any.doc_id").alias("_id"), F.col("any.tkey").alias("_tkey"))))
-    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS).alias("parts"))
-    dealt = pairs.join(many, "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v")
-    first = dealt.select("u", "part").distinct().join(sets, F.col("u") == F.col("node")).select("u", "part", F.lit(None).cast("long").alias("v"), "x")
-    rest = dealt.join(sets, F.col("v") == F.col("node")).select("u", "part", "v", "x")
+    rows = pairs.count()
+    few, sets_few = (lambda df: narrowed(df, 2 * rows)), (lambda df: narrowed(df, 2 * rows, SETS))
+    pairs = few(pairs)
+    ends = few(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    met = cut(few(nodes.join(ends, "node").select("node", F.col("any.doc_id").alias("_id"), F.col("any.tkey").alias("_tkey"))))
+    sets = cut(sets_few(met_again(docs, met, sets_few)))
+    many = few(pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS).alias("parts")))
+    dealt = few(pairs.join(many, "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v"))
+    first = sets_few(few(dealt.select("u", "part").distinct()).join(sets, F.col("u") == F.col("node")).select("u", "part", F.lit(None).cast("long").alias("v"), "x"))
+    rest = sets_few(dealt.join(sets, F.col("v") == F.col("node")).select("u", "part", "v", "x"))
 
     def run(batches):
         held = None
@@ -153,8 +160,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    rows = first.union(rest).repartition(partitions(docs.sparkSession), "u", "part")
-    return rows.sortWithinPartitions("u", "part", F.col("v").asc_nulls_first()).mapInArrow(run, "u long, v long")
+    met_rows = sets_few(first.union(rest).repartition(partitions(docs.sparkSession), "u", "part"))
+    return few(met_rows.sortWithinPartitions("u", "part", F.col("v").asc_nulls_first()).mapInArrow(run, "u long, v long"))
 
 
 def fit(a: str, b: str, percent: int) -> Column:
@@ -164,11 +171,11 @@ def fit(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(q, r) >= percent * F.greatest(q, r)) & ((100 + percent) * turned <= (100 - percent) * (q + r))
 
 
-def placed(lists: DataFrame, root: DataFrame) -> DataFrame:
+def placed(lists: DataFrame, root: DataFrame, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """lists with the root of each node's component, of the lists that hold several components."""
-    rooted = lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    return rooted.join(several, "key")
+    rooted = few(lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    several = few(rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"))
+    return few(rooted.join(several, "key"))
 
 
 def of_lists(nodes: DataFrame, m: int) -> DataFrame:
@@ -182,16 +189,16 @@ def of_lists(nodes: DataFrame, m: int) -> DataFrame:
     return cut(postings.join(several, "key").join(nodes.select("node", "q", "odd"), "node").select("key", "node", "q", "odd"))
 
 
-def apart(nodes: DataFrame, lists: DataFrame, root: DataFrame, m: int, percent: int) -> DataFrame:
+def apart(nodes: DataFrame, lists: DataFrame, root: DataFrame, m: int, percent: int, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pairs u, v of the lists whose components differ and that may be similar, in blocks."""
-    open_ = placed(lists, root).select("node", "root").distinct()
+    open_ = few(placed(lists, root, few).select("node", "root").distinct())
     keys = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("t")
-    now = open_.join(nodes, "node").select("node", "root", "q", "odd", "one", "other", keys)
+    now = few(open_.join(nodes, "node").select("node", "root", "q", "odd", "one", "other", keys))
     now = cut(now.select(F.xxhash64("t", F.col("one")[F.col("t")]).alias("key"), "node", "root", "q", "odd", "other"))
-    by_root = now.groupBy("key", "root").agg(F.count("*").alias("n"))
+    by_root = few(now.groupBy("key", "root").agg(F.count("*").alias("n")))
     size = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("outside"))
     size = size.where("roots > 1").select("key", "main", F.ceil(F.col("outside") / OUTSIDE).cast("int").alias("rows"), F.ceil(F.col("all") / ALL).cast("int").alias("columns"))
-    now = now.join(size, "key")
+    now = cut(few(now.join(few(size), "key")))
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = now.where("root <> main").select("key", block("rows").alias("i"), each("columns").alias("j"), *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "q", "odd", "other")))
@@ -212,20 +219,23 @@ def groups(docs: DataFrame, percent: int = PERCENT, half: int = HALF, m: int = K
     found = rows.groupBy("set1", "set2").agg(*own, F.min(F.when(F.col("doc_id").isNotNull(), me)).alias("first"), F.min(me).alias("any"))
     nodes = cut(found.withColumn("node", F.monotonically_increasing_id()))
     lists = of_lists(nodes, m)
+    rows_of_lists = lists.count()
+    few = lambda df: narrowed(df, rows_of_lists)
+    lists = few(lists)
 
-    ends = lists.groupBy("key").agg(F.min(F.struct("node", "q", "odd")).alias("lo"), F.max(F.struct("node", "q", "odd")).alias("hi"))
-    now = lists.join(ends, "key")
-    nearest = now.where(F.col("node") != F.col("lo.node")).where(fit("{}", "lo.{}", percent)).groupBy("node").agg(F.min("lo.node").alias("u"))
+    ends = few(lists.groupBy("key").agg(F.min(F.struct("node", "q", "odd")).alias("lo")))
+    now = few(lists.join(ends, "key"))
+    nearest = few(now.where(F.col("node") != F.col("lo.node")).where(fit("{}", "lo.{}", percent)).groupBy("node").agg(F.min("lo.node").alias("u")))
     links = cut(verified(nearest.select("u", F.col("node").alias("v")), nodes, docs, percent))
 
-    now = placed(lists, components(links))
+    now = cut(placed(lists, components(links), few))
     me_too = F.struct("node", "q", "odd", "root")
-    now = cut(now.join(now.groupBy("key").agg(F.min(me_too).alias("lo"), F.max(me_too).alias("hi")), "key"))
+    now = cut(few(now.join(few(now.groupBy("key").agg(F.min(me_too).alias("lo"), F.max(me_too).alias("hi"))), "key")))
     far = [now.where(F.col("root") != F.col(f"{e}.root")).where(fit("{}", e + ".{}", percent)).select(F.least("node", f"{e}.node").alias("u"), F.greatest("node", f"{e}.node").alias("v")) for e in ("lo", "hi")]
-    links = cut(links.union(verified(far[0].union(far[1]).distinct(), nodes, docs, percent)))
+    links = cut(links.union(verified(few(far[0].union(far[1]).distinct()), nodes, docs, percent)))
 
     root = components(links)
-    more = cut(verified(apart(nodes, lists, root, m, percent), nodes, docs, percent))
+    more = cut(verified(apart(nodes, lists, root, m, percent, few), nodes, docs, percent))
     if not more.isEmpty():
         root = components(links.union(more))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, cut, map_texts, partitions, table
+from .common import WORD_BYTES, cut, map_texts, narrowed, partitions, table
 
 BITS, BUDGET = 64, 3
 #: Shingles hashed at a time, so that a very long text needs no more memory than a long one.
@@ -170,14 +170,16 @@ def trie_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of the nodes that have links, by large-star and small-star rounds."""
     edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = None
+    rows = edges.count()  # they don't become more
+    few = lambda df: narrowed(df, 2 * rows)
+    state, edges = None, few(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
+        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = few(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).union(least.select("u", F.col("m").alias("v")))
+        edges = cut(few(small.distinct()))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
