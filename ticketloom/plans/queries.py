@@ -135,7 +135,7 @@ WITH o AS (SELECT *, o_orderpriority = '5-LOW' AS new, CAST(o_orderdate AS DATE)
 SELECT CAST(o_orderkey AS VARCHAR) AS slip_id, CASE WHEN NOT new THEN regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g') END AS template_id,
   CASE WHEN new THEN 'NEW_TEMPLATE' WHEN isodow(settle) > 5 THEN 'NEEDS_REVIEW' ELSE 'PARSED' END AS status, CASE WHEN NOT new THEN 'IN0020240A75' END AS isin, CASE WHEN NOT new THEN 95.25 + o_orderkey % 10 END::DOUBLE AS price,
   CASE WHEN NOT new THEN (o_orderkey + 1) * 1000 END::DOUBLE AS face_value, CASE WHEN NOT new THEN CAST(CAST(round(CAST(o_totalprice AS DECIMAL(20,4)), 2) AS DECIMAL(18,2)) AS DOUBLE) END AS consideration, settle AS settlement_date,
-  CASE WHEN new THEN 4 ELSE 1 END AS n_unmapped, CASE WHEN NOT new THEN 100.0 END::DOUBLE AS face_value_x FROM o
+  CASE WHEN new THEN 4 ELSE 1 END AS n_unmapped, CASE WHEN NOT new THEN 95.0 END::DOUBLE AS face_value_x FROM o
 """)
 def template_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders' slips through the templates that were approved for four of five layouts, as whole results: label maps, region, regex and
