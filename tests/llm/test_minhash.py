@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm import op12_minhash as op12
 
-from .test_near_copies import planted, shingles
+from test_near_copies import planted, shingles
 
 SCHEMA = "doc_id long, text string, node int, key string, u int, tkey string"
 
