@@ -92,7 +92,7 @@ def file_stem(deal_id: Column | str, file: Column | str) -> Column:
 def first_pattern(c: Column | str, table: list[tuple[str, str]]) -> Column:
     """Code of the first pattern found in the text, case ignored; null if none is."""
     c = text_of(c)
-    return F.coalesce(*(F.when(c.rlike(f"(?iu){p}"), code) for p, code in table), F.lit(None).cast("string"))
+    return F.coalesce(*(F.when(c.rlike(f"(?iU){p}"), code) for p, code in table), F.lit(None).cast("string"))
 
 
 def extract(c: Column | str, pattern: str, group: int = 1) -> Column:
