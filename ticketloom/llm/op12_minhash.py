@@ -107,14 +107,14 @@ def signatures(docs: DataFrame, half: int, m: int) -> DataFrame:
     return texts_of(docs).mapInArrow(run, schema)
 
 
-def met_again(docs: DataFrame, met: DataFrame, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, x (its sorted shingle hashes) of the nodes in met (node, _id, _tkey), in as many partitions as `few` makes. A filter of SLOTS slots, at most so many broadcast
+def met_again(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """node, x (its sorted shingle hashes) of the nodes in met (node, _id, _tkey). A filter of SLOTS slots, at most so many broadcast
     rows, keeps most other rows out of the shuffle."""
     slot = lambda i, k: F.pmod(F.xxhash64(i, k), F.lit(SLOTS))
     slots = met.select(slot("_id", "_tkey").alias("slot")).distinct()
     rows = texts_of(docs)
     rows = rows.join(F.broadcast(slots), slot("doc_id", "tkey") == F.col("slot"), "left_semi")
-    found = few(rows.join(met, rows["doc_id"].eqNullSafe(met["_id"]) & (rows["tkey"] == met["_tkey"])).select("node", "text"))
+    found = rows.join(met, rows["doc_id"].eqNullSafe(met["_id"]) & (rows["tkey"] == met["_tkey"])).select("node", "text")
     schema = "node long, x binary"
     out = to_arrow(docs.sparkSession, schema)
 
@@ -140,8 +140,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     few, sets_few = (lambda df: narrowed(df, 2 * rows)), (lambda df: narrowed(df, 2 * rows, SETS))
     pairs = few(pairs)
     ends = few(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    met = cut(few(nodes.join(ends, "node").select("node", F.col("any.doc_id").alias("_id"), F.col("any.tkey").alias("_tkey"))))
-    sets = cut(sets_few(met_again(docs, met, sets_few)))
+    # nodes and docs are large, what is met of them may be small: narrowed when it is read again
+    met = few(cut(nodes.join(ends, "node").select("node", F.col("any.doc_id").alias("_id"), F.col("any.tkey").alias("_tkey"))))
+    sets = sets_few(cut(met_again(docs, met)))
     many = few(pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS).alias("parts")))
     dealt = few(pairs.join(many, "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v"))
     first = sets_few(few(dealt.select("u", "part").distinct()).join(sets, F.col("u") == F.col("node")).select("u", "part", F.lit(None).cast("long").alias("v"), "x"))
@@ -193,8 +194,8 @@ def apart(nodes: DataFrame, lists: DataFrame, root: DataFrame, m: int, percent:
     """Pairs u, v of the lists whose components differ and that may be similar, in blocks."""
     open_ = few(placed(lists, root, few).select("node", "root").distinct())
     keys = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("t")
-    now = few(open_.join(nodes, "node").select("node", "root", "q", "odd", "one", "other", keys))
-    now = cut(now.select(F.xxhash64("t", F.col("one")[F.col("t")]).alias("key"), "node", "root", "q", "odd", "other"))
+    now = open_.join(nodes, "node").select("node", "root", "q", "odd", "one", "other", keys)
+    now = few(cut(now.select(F.xxhash64("t", F.col("one")[F.col("t")]).alias("key"), "node", "root", "q", "odd", "other")))
     by_root = few(now.groupBy("key", "root").agg(F.count("*").alias("n")))
     size = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("outside"))
     size = size.where("roots > 1").select("key", "main", F.ceil(F.col("outside") / OUTSIDE).cast("int").alias("rows"), F.ceil(F.col("all") / ALL).cast("int").alias("columns"))
