@@ -124,3 +124,19 @@ def test_few_pairs_reach_python(spark):
     assert n < 0.05 * len(keys) ** 2
     hit = mapping.label_hits(spark.createDataFrame([("Settlment Date",), ("Deal Refrence No",), ("zzz",)], "label string")).collect()
     assert {(r.label, r.path, r.method) for r in hit} == {("Settlment Date", "settlement_date", "fuzzy"), ("Deal Refrence No", "deal_id", "fuzzy")}
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_pages_with_many_boxes(spark, monkeypatch, few):
+    """Pages that have more boxes than are compared one by one give the same."""
+    monkeypatch.setattr(tiles, "FEW", few)
+    test_regions_and_tables(spark)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_boxes_are_broadcast(spark):
+    """The tiles or boxes of all slips never go through the driver, however small Spark takes them to be."""
+    assert "Broadcast" not in plan_of(queries.region_words(spark, "/root/testdata/sf0.001"))
