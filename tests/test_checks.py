@@ -164,3 +164,11 @@ def test_long_derivations(spark):
     for k, (_, want) in enumerate(cases):
         for column, value in want.items():
             assert got[k][column] == (None if value is None else Decimal(str(value)) if isinstance(got[k][column], Decimal) else value), (k, column, got[k][column])
+
+
+def test_lines_are_checked_once(spark):
+    """The checks stand once in the plan, not again in a filter on the number of issues."""
+    from ticketloom.plans import queries
+
+    plan = queries.validate_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan
