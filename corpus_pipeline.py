@@ -2,7 +2,8 @@
 
 1. language: documents whose language can't be told with a safe margin go (op8).
 2. lines: lines that an earlier document has go from the text (op6); a document that is left empty stays, as an empty text.
-3. near_duplicates: texts with a five-word similarity of at least 0.8 are linked; of each component the smallest doc_id stays (near_copies).
+3. near_duplicates: texts with a five-word similarity of at least 0.8 are linked, met by fingerprints first (op3) and then by tables (op12); of each
+   component the smallest doc_id stays (near_copies).
 4. decontaminate: documents that contain 80 % of a benchmark item's 5-word shingles go (op1).
 5. encode: ids as of the public piece model, checked in the tests against its library (op2).
 

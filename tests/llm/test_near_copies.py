@@ -3,7 +3,11 @@
 import random
 import re
 
-from ticketloom.llm import near_copies
+import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ticketloom.llm import near_copies, op3_simhash, op12_minhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -75,3 +79,31 @@ def test_repeated_ids(spark):
     a, b = "one two three four five six seven", "a text that is quite another one, and longer"
     docs = spark.createDataFrame([(4, a), (9, a), (2, b), (4, b)], "doc_id long, text string")
     assert sorted(map(tuple, near_copies.one_of_each(docs).collect())) == [(2, b), (4, a)]
+
+
+def test_fingerprints_meet_first(spark, monkeypatch):
+    """The trie self-join of op3 gives the first pairs; they are linked if their sets are similar, and the tables find the rest."""
+    rng, found = np.random.default_rng(6), []
+    for n in (1, 2, 9, 1000):
+        x = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + rng.integers(0, 2, n, np.uint64))
+        ones = [sum(int(h) >> b & 1 for h in x) for b in range(64)]
+        assert near_copies.print_of(x) == op3_simhash.signed(sum(1 << b for b, k in enumerate(ones) if 2 * k > len(x)))
+
+    own = op12_minhash.verified
+
+    def verified(pairs, nodes, docs, percent):
+        out = own(pairs, nodes, docs, percent)
+        found.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(op12_minhash, "verified", verified)
+    rows = planted() + [(900 + i, " ".join(f"w{k}" for k in range(400) if k != 7 * i)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = lambda: sorted((str(r.doc_id), str(r.text)) for r in near_copies.one_of_each(docs).collect())
+    want = sorted((str(i), str(t)) for i, t in plain(rows))
+    assert kept() == want and found[0][1] >= 3  # the six, all within a few bits
+    # pairs that aren't similar and pairs that the trie doesn't find change nothing
+    pairs = spark.createDataFrame([(0, 0)], "u long, v long")
+    for links in (lambda fps: fps.select(F.col("fp").alias("u"), F.min("fp").over(Window.partitionBy()).alias("v")), lambda fps: pairs.limit(0)):
+        monkeypatch.setattr(near_copies, "trie_links", links)
+        assert kept() == want

@@ -89,9 +89,10 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), F.col("text").cast("string").alias("text"))
 
 
-def signatures(docs: DataFrame, half: int, m: int) -> DataFrame:
-    """doc_id, tkey, set1 and set2 (the set's hash), q (its size), odd (its sketch), one and other (its short keys)."""
-    schema = "doc_id long, tkey long, set1 long, set2 long, q int, odd array<long>, one array<long>, other array<long>"
+def signatures(docs: DataFrame, half: int, m: int, print_of: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """doc_id, tkey, set1 and set2 (the set's hash), q (its size), odd (its sketch), fp (its fingerprint, if one is asked for), one and
+    other (its short keys)."""
+    schema = "doc_id long, tkey long, set1 long, set2 long, q int, odd array<long>, fp long, one array<long>, other array<long>"
     out = to_arrow(docs.sparkSession, schema)
 
     def run(batches):
@@ -101,7 +102,7 @@ def signatures(docs: DataFrame, half: int, m: int) -> DataFrame:
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 x = shingle_hashes(t or b"", hashes)
                 one, other = short_keys(x, half, m) if len(x) else ([], [])
-                rows.append((*np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64).tolist(), len(x), sketch(x), one, other))
+                rows.append((*np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64).tolist(), len(x), sketch(x), print_of(x) if print_of else None, one, other))
             yield batch({"doc_id": b.column(0), "tkey": b.column(1)} | {f.name: [r[i] for r in rows] for i, f in enumerate(list(out)[2:])}, out)
 
     return texts_of(docs).mapInArrow(run, schema)
@@ -211,12 +212,15 @@ def apart(nodes: DataFrame, lists: DataFrame, root: DataFrame, m: int, percent:
     return pairs.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
 
 
-def groups(docs: DataFrame, percent: int = PERCENT, half: int = HALF, m: int = KEYS, empty_linked: bool = False) -> DataFrame:
+def groups(
+    docs: DataFrame, percent: int = PERCENT, half: int = HALF, m: int = KEYS, empty_linked: bool = False, print_of: Callable[[np.ndarray], int] | None = None, met_by: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """doc_id, tkey (hash of the text), q (size of the set), first_id, first_tkey (the first row, by id and tkey, of the row's component):
-    one row for each row of docs."""
-    rows = written(signatures(docs, half, m), "sets")
+    one row for each row of docs. Another search may come first: met_by(nodes) gives pairs u, v of nodes by their fp, which is
+    print_of(shingle hashes); those that are similar are linked, and the tables are searched only for what they leave apart."""
+    rows = written(signatures(docs, half, m, print_of), "sets")
     me = F.struct("doc_id", "tkey")
-    own = [F.min(c).alias(c) for c in ("q", "odd", "one", "other")]
+    own = [F.min(c).alias(c) for c in ("q", "odd", "fp", "one", "other")]
     found = rows.groupBy("set1", "set2").agg(*own, F.min(F.when(F.col("doc_id").isNotNull(), me)).alias("first"), F.min(me).alias("any"))
     nodes = cut(found.withColumn("node", F.monotonically_increasing_id()))
     lists = of_lists(nodes, m)
@@ -224,10 +228,13 @@ def groups(docs: DataFrame, percent: int = PERCENT, half: int = HALF, m: int = K
     few = lambda df: narrowed(df, rows_of_lists)
     lists = few(lists)
 
-    ends = few(lists.groupBy("key").agg(F.min(F.struct("node", "q", "odd")).alias("lo")))
-    now = few(lists.join(ends, "key"))
-    nearest = few(now.where(F.col("node") != F.col("lo.node")).where(fit("{}", "lo.{}", percent)).groupBy("node").agg(F.min("lo.node").alias("u")))
-    links = cut(verified(nearest.select("u", F.col("node").alias("v")), nodes, docs, percent))
+    before = cut(verified(met_by(nodes.where("q > 0").select("node", "fp", "q", "odd")), nodes, docs, percent)) if met_by else None
+    open_ = cut(placed(lists, components(before), few)) if met_by else lists.withColumn("root", F.col("node"))
+    ends = few(open_.groupBy("key").agg(F.min(F.struct("node", "q", "odd", "root")).alias("lo")))
+    now = few(open_.join(ends, "key"))
+    nearest = few(now.where(F.col("root") != F.col("lo.root")).where(fit("{}", "lo.{}", percent)).groupBy("node").agg(F.min("lo.node").alias("u")))
+    links = verified(nearest.select("u", F.col("node").alias("v")), nodes, docs, percent)
+    links = cut(links.union(before) if met_by else links)
 
     now = cut(placed(lists, components(links), few))
     me_too = F.struct("node", "q", "odd", "root")

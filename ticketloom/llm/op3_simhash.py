@@ -16,6 +16,7 @@ non-null doc_id of its component (null if there is none).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
@@ -38,11 +39,21 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     w = WORD_BYTES.findall(text.lower())  # bytes.lower() changes A-Z only
     if not w:
         return 0
-    n, ones = max(len(w) - words + 1, 1), np.zeros(BITS, np.int64)
-    for i in range(0, n, STRIDE):
-        part = w[i : min(i + STRIDE, n) + words - 1]
-        shingles = map(b" ".join, zip(*(part[j:] for j in range(words)), strict=False)) if len(w) >= words else iter([b" ".join(w)])
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+    n = max(len(w) - words + 1, 1)
+
+    def hashes():
+        for i in range(0, n, STRIDE):
+            part = w[i : min(i + STRIDE, n) + words - 1]
+            shingles = map(b" ".join, zip(*(part[j:] for j in range(words)), strict=False)) if len(w) >= words else iter([b" ".join(w)])
+            yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+
+    return majority(hashes(), n)
+
+
+def majority(hashes: Iterable[np.ndarray], n: int) -> int:
+    """The bits that are set in over half of n hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for h in hashes:
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         for k in range(0, len(bits), 255):  # sums of 255 bits fit a byte
             ones += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
