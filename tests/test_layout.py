@@ -73,6 +73,30 @@ def test_lines_and_segments(spark):
     assert extract.segments(df.limit(0)).count() == 0
 
 
+def test_lines_over_batches(spark):
+    """Lines and pages that end anywhere in an Arrow batch, a line of several batches, words without a text or a left side."""
+    rng = random.Random(8)
+    words = [(p, 1, i, rng.choice(["|", "a", "Px:", "9"]), (x := float(rng.randint(0, 400)), rng.choice([rng.uniform(0, 30), i / 7]), x + 9, 40.0)) for p in "abcd" for i in range(60)]
+    words += [("one", 1, i, "|" if i % 9 == 4 else f"w{i}", (i * 12.0, 5.0, i * 12.0 + 11, 9.0)) for i in range(50)]
+    df = spark.createDataFrame(words, WORDS).repartition(3)
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "7", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert {(r.slip_id, r.page, r.row_no, r.i): r.text for r in extract.segments(df).collect()} == plain_segments(words)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", own)
+    odd = [("s", 1, 0, None, (0.0, 1.0, 5.0, 9.0)), ("s", 1, 1, "a", (6.0, 1.0, 9.0, 9.0)), ("s", 1, 2, "b", (12.0, 1.0, 15.0, None)), ("s", 1, 3, "c", (None, 1.0, 2.0, 9.0))]
+    got = {r.i: (r.text, tuple(r.bbox)) for r in extract.segments(spark.createDataFrame(odd, WORDS)).collect()}
+    assert got == {0: ("c", (None, 1.0, 2.0, 9.0)), 1: ("a b", (6.0, 1.0, 15.0, 9.0))}
+
+
+def test_words_of_lines_are_dealt_once(spark):
+    """Line items are dealt out by order; their words, which are several times as many, are not dealt again and not gathered in lists."""
+    plan = plan_of(queries.text_lines(spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan
+
+
 def test_pairs_of_lines(spark):
     rows = [("Deal", 10, 40), ("No:", 45, 60), ("77", 62, 70), ("|", 75, 76), ("Side:", 80, 100), ("Buy", 104, 130)]
     words = [("s", 1, i, t, (float(a), 10.0 + i / 3, float(b), 18.0)) for i, (t, a, b) in enumerate(rows)]
