@@ -8,6 +8,8 @@
 5. encode: ids as of the public piece model, checked in the tests against its library (op2).
 
 STAGES holds (name, function); a function takes (spark, docs, sf_dir). All stages but the last return the columns of docs.
+What a stage returns runs when the caller writes it, so language, decontaminate and encode leave the session's Arrow batches at 1,000 rows at most
+(spark.sql.execution.arrow.maxRecordsPerBatch): an executor's memory else follows batches of up to 64 MB for each core.
 ORACLE_SQL is None: SQL has neither the compressor of stage 1 nor the encoder of stage 5.
 """
 
@@ -18,10 +20,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketloom.llm import near_copies, op1_decontaminate, op2_sentencepiece, op6_lines, op8_langid
-from ticketloom.llm.common import shared_dir, table
+from ticketloom.llm.common import fewer_rows, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    fewer_rows(spark)
     return op8_langid.accepted(docs)
 
 
@@ -34,10 +37,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    fewer_rows(spark)
     return op1_decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    fewer_rows(spark)
     return op2_sentencepiece.encoded(docs, columns=("ids", "n_tokens", "ids_sha256", "decoded_sha256"))
 
 

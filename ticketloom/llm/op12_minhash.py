@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, batch, cut, narrowed, partitions, slices, table, to_arrow, written
+from .common import SHINGLE_WORDS, batch, cut, narrowed, partitions, release, slices, table, to_arrow, written
 from .op1_decontaminate import WordHash, window_hashes, words_of
 from .op3_simhash import components
 
@@ -96,6 +96,7 @@ def signatures(docs: DataFrame, half: int, m: int, print_of: Callable[[np.ndarra
     out = to_arrow(docs.sparkSession, schema)
 
     def run(batches):
+        release()
         hashes = WordHash()
         for b in slices(batches):
             rows = []
@@ -120,6 +121,7 @@ def met_again(docs: DataFrame, met: DataFrame) -> DataFrame:
     out = to_arrow(docs.sparkSession, schema)
 
     def run(batches):
+        release()
         hashes = WordHash()
         for b in slices(batches):
             yield batch({"node": b.column(0), "x": [shingle_hashes(t or b"", hashes).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]}, out)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIN_SIMILARITY, SHINGLE_WORDS, WORD_BYTES, batch, id_and_text, keep_texts, slices, table, to_arrow
+from .common import MIN_SIMILARITY, SHINGLE_WORDS, WORD_BYTES, batch, id_and_text, keep_texts, release, slices, table, to_arrow
 
 #: Shingles of the items that a task holds at a time.
 BLOCK = 2_000_000
@@ -135,6 +135,7 @@ def contained(docs: DataFrame, items: DataFrame, least: float = MIN_SIMILARITY)
     for block in blocks(items):
 
         def run(batches, block=block):
+            release()
             held = Items(block, least)
             for b in slices(batches):
                 rows = {"doc_id": [], "item_id": [], "n_shingles": [], "n_shared": [], "containment": []}
@@ -157,6 +158,7 @@ def clean(docs: DataFrame, items: DataFrame, least: float = MIN_SIMILARITY) -> D
 
         def keep(texts, block=block, held=held):
             if not held:
+                release()
                 held.append(Items(block, least))
             return [not held[0].search(t) for t in texts]
 

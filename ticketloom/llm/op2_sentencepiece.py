@@ -19,13 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Memory, map_texts, table
+from .common import Memory, held, map_texts, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -301,9 +300,8 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(1)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(Encoder, path)
 
 
 def encoded(docs: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:

@@ -14,13 +14,12 @@ Defined results: null text or text without a letter is `und` with score 0; witho
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_texts, map_texts, table
+from .common import held, keep_texts, map_texts, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Bounds of the training sample: texts for each language, characters of each text, bytes of a dictionary.
@@ -65,7 +64,6 @@ def dictionaries(docs: DataFrame) -> tuple[tuple[str, bytes], ...]:
     return tuple((k, letters("\n".join(dict.fromkeys(t)))[-DICTIONARY:]) for k, t in sample(docs))
 
 
-@lru_cache(1)
 def compressors(model: tuple[tuple[str, bytes], ...]) -> list[tuple]:
     """For each language: compressor for texts, compressor for short texts after a base, the bases, their size together."""
     out = []
@@ -89,10 +87,10 @@ def predict(text: str, model: tuple) -> tuple[str, float, float]:
     if not model or not any(map(str.isalpha, clean.decode())):  # LETTERS also takes fractions and circled numbers
         return "und", 0.0, 0.0
     if len(clean) < SHORT:
-        sizes = [max(1, sum(len(c.compress(x + clean)) for x in bases) - size) for _, c, bases, size in compressors(model)]
+        sizes = [max(1, sum(len(c.compress(x + clean)) for x in bases) - size) for _, c, bases, size in held(compressors, model)]
     else:
         parts = [clean[i : i + CHUNK] for i in range(0, len(clean), CHUNK)]
-        sizes = [sum(map(len, map(c.compress, parts))) for c, *_ in compressors(model)]
+        sizes = [sum(map(len, map(c.compress, parts))) for c, *_ in held(compressors, model)]
     best = min(range(len(sizes)), key=sizes.__getitem__)
     rest = sizes[:best] + sizes[best + 1 :]
     margin = min(rest) / sizes[best] - 1 if rest else 1.0
