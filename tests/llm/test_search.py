@@ -6,7 +6,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 
+from ticketloom.llm import common
 from ticketloom.llm import op13_search as op13
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -71,3 +73,17 @@ def test_counts_of_terms(monkeypatch):
     monkeypatch.setattr(op13, "PART", 5)
     for t in ("", "a", " a", "a b", "é日-x9 Z.", "one two  three", "@[`{"):
         assert op13.n_terms(t.encode()) == len(terms(t)) and [x.decode() for p in op13.terms(t.encode()) for x in p] == terms(t)
+
+
+def test_a_task_holds_one_shard(spark, monkeypatch):
+    """Of a file with many shards a reader has one row group, and an Arrow batch, for each."""
+    monkeypatch.setitem(common.LARGE_ROWS, "parquet.block.size", 1)
+    docs, items = corpus()
+    shards, n = op13.index(spark.createDataFrame([(i, t, 1, 2, "r", "x") for i, t in docs], DOCS).repartition(1), 300)
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata.num_row_groups for f in shards.inputFiles()]
+    assert len(groups) == 1 and groups[0] == shards.count() > 8
+    rows, kept = [], op13.written
+    monkeypatch.setattr(op13, "written", lambda df, name, **options: (rows.append((name, spark.conf.get(common.ARROW_KEY))), kept(df, name, **options))[1])
+    own = spark.conf.get(common.ARROW_KEY)
+    op13.search(shards, n, spark.createDataFrame(items, "item_id long, text string"))
+    assert ("hits", "1") in rows and spark.conf.get(common.ARROW_KEY) == own

@@ -85,12 +85,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: For tables whose rows are megabytes. Parquet's writer counts its bytes after 100 rows only, and its reader makes one batch of up to 4,096 rows of a
+#: row group, so both would hold all rows of a task; with these a row group is closed after the row that fills it.
+LARGE_ROWS = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
+
+
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cheaper to read often than a checkpoint. The folder may go when the
-    result has been read."""
+    result has been read. options: of the writer."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with small_batches(df.sparkSession):
-        df.write.parquet(at)
+        df.write.options(**options).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -2,7 +2,8 @@
 
 Index: each shard holds some documents (SHARD tokens) as postings sorted by term: where a term's postings start, the documents' places,
 and the postings' impacts, integers that are computed when the index is built and that only a term's weight multiplies. An index is a
-table with one row for each shard, so that it is built, read and lost shard by shard.
+table with one row for each shard, so that it is built, read and lost shard by shard: a task holds one shard at a time, in a row group and an
+Arrow batch of its own, however many shards its part of the table has.
 
 Search: items come in blocks of bounded size. One pass over the shards' vocabularies counts in how many documents each term of a block
 lies, which gives the terms' weights; a second pass adds up, term at a time, weight times impact in a dense array of the shard's
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, id_and_text, slices, small_batches, table, to_arrow, written
+from .common import LARGE_ROWS, batch, id_and_text, slices, small_batches, table, to_arrow, written
 
 #: A term: digits, letters and all bytes of characters beyond ASCII, in lower-cased UTF-8.
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -133,7 +134,7 @@ def index(docs: DataFrame, tokens: int = SHARD) -> tuple[DataFrame, int]:
         if shard.ids:
             yield batch(shard.row(), out)
 
-    return written(id_and_text(docs).mapInArrow(run, INDEX), "shards"), n_docs
+    return written(id_and_text(docs).mapInArrow(run, INDEX), "shards", **LARGE_ROWS), n_docs
 
 
 def found(b: pa.RecordBatch, row: int, wanted: list[bytes], hashes: np.ndarray) -> np.ndarray:
@@ -166,7 +167,9 @@ def document_counts(shards: DataFrame, wanted: list[bytes], hashes: np.ndarray)
         yield batch({"term": there, "n": total[there]}, out)
 
     df = np.zeros(len(wanted), np.int64)
-    for r in shards.select("hashes", "vocabulary", "ends", "starts").mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n")).collect():
+    with small_batches(shards.sparkSession, 1):
+        counts = shards.select("hashes", "vocabulary", "ends", "starts").mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n")).collect()
+    for r in counts:
         df[r.term] = r.n  # a row for each term of the block
     return df
 
@@ -237,7 +240,8 @@ def search(shards: DataFrame, n_docs: int, items: DataFrame, k: int = TOP) -> Da
     items = written(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).withColumn("item", F.monotonically_increasing_id()), "items")
     hits = items.sparkSession.createDataFrame([], "item long, doc_id long, score long")
     for block in blocks(items):
-        hits = hits.union(written(block_hits(shards, n_docs, block, k), "hits"))
+        with small_batches(shards.sparkSession, 1):
+            hits = hits.union(written(block_hits(shards, n_docs, block, k), "hits"))
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.join(items.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")
